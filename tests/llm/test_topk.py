@@ -35,13 +35,14 @@ def test_brute_force(spark, monkeypatch):
     assert run(df.limit(0), 10, 5) == set()
 
 
-def test_pruning_skips_nodes():
+def test_pruning_skips_nodes(monkeypatch):
     """Clustered rows: most nodes fall to the bound."""
     import numpy as np
 
     rng = np.random.default_rng(1)
     centres = rng.normal(0, 1000, (40, 16))
     x = np.floor(np.repeat(centres, 100, 0) + rng.normal(0, 5, (4000, 16)))
+    monkeypatch.setattr(topk, "LEAF_ROWS", 16)
     tree = topk.BallTree(x, np.arange(4000))
     seen = []
     s = topk.Search(x[:50], np.arange(50), np.full(50, -np.inf), 5)
