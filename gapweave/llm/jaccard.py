@@ -37,6 +37,8 @@ LONG_LIST = 128
 BLOCK = 512
 LARGEST_SMALL = 36
 SIG = 4
+#: Sets of at least BIG_FROM shingles have a second bitmap of BIG longs, which only pairs that pass the first fetch.
+BIG_FROM, BIG = 500, 64
 CACHE_WORDS = 300_000
 ROWS = 1024
 MOST_BROADCAST = 1_000_000
@@ -119,8 +121,8 @@ def _prefix(s: np.ndarray, heavy: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate([s[~last], s[last]])[:k]
 
 
-def _parity(s: np.ndarray) -> np.ndarray:
-    bits = np.bincount((s.view(np.uint64) >> np.uint64(20)).astype(np.int64) & (64 * SIG - 1), minlength=64 * SIG) & 1
+def _parity(s: np.ndarray, longs: int = SIG) -> np.ndarray:
+    bits = np.bincount((s.view(np.uint64) >> np.uint64(20)).astype(np.int64) & (64 * longs - 1), minlength=64 * longs) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -163,11 +165,12 @@ def _signatures(docs: DataFrame, heavy: np.ndarray, words: int, percent: int) ->
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([_prefix(s, sent.value, percent) for s in sets], pa.list_(pa.int64())),
                         pa.array([_parity(s) for s in sets], pa.list_(pa.int64())),
+                        pa.array([_parity(s, BIG) if len(s) >= BIG_FROM else None for s in sets], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "c", "n", "prefix", "sig"],
+                    names=["doc_id", "c", "n", "prefix", "sig", "big"],
                 )
 
-    return docs.mapInArrow(go, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, c long, n long, prefix array<long>, sig array<long>")
+    return docs.mapInArrow(go, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, c long, n long, prefix array<long>, sig array<long>, big array<long>")
 
 
 def _heavy(docs: DataFrame, words: int, percent: int) -> np.ndarray:
@@ -229,13 +232,20 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
     lists = rows.groupBy("token").agg(F.count("*").alias("k"), F.min("c").alias("first")).filter("k > 1")
     shared = materialised(rows.join(lists, "token"), "lists")
     hung = shared.filter(F.col("k") > LONG_LIST).select(F.col("first").alias("a"), F.col("c").alias("b"))
-    short = shared.filter(F.col("k") <= LONG_LIST).select("token", "c", "n").join(classes.select("c", "sig"), "c")
+    sigs = classes.select("c", *[F.get("sig", F.lit(i)).alias(f"s{i}") for i in range(SIG)])
+    short = shared.filter(F.col("k") <= LONG_LIST).select("token", "c", F.col("n").cast("int").alias("n")).join(sigs, "c")
     x, y = short.alias("x"), short.alias("y")
-    differ = sum((F.bit_count(F.get("x.sig", F.lit(i)).bitwiseXOR(F.get("y.sig", F.lit(i)))) for i in range(SIG)), F.lit(0))
-    # the difference of linked sets is at most s + t - 2 * needed
+    differ = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(SIG)), F.lit(0))
+    # the difference of linked sets is at most (100 - percent) / (100 + percent) of the sum of their sizes
     may = (F.col("x.c") < F.col("y.c")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
     may = may & ((100 + percent) * differ <= (100 - percent) * (F.col("x.n") + F.col("y.n")))
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & may).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & may).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
+    big = classes.filter("big is not null")
+    left = big.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("big").alias("ba"))
+    right = big.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("big").alias("bb"))
+    bits = F.aggregate(F.zip_with("ba", "bb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, v: acc + v)
+    near = F.coalesce((100 + percent) * bits <= (100 - percent) * (F.col("na") + F.col("nb")), F.lit(True))
+    pairs = pairs.join(left, "a", "left").join(right, "b", "left").filter(near).select("a", "b")
     return hung.filter("a <> b").union(pairs).distinct()
 
 
@@ -287,10 +297,10 @@ def _verified(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # each member in a block by hash; a block meets itself and every other block of its group
     placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
-    placed = placed.withColumn("meet", F.explode(meets)).select("root", "node", "own", "meet.i", "meet.j")
-    data = placed.join(sets.withColumnRenamed("c", "node"), "node")
-
-    n_bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pieces(groups.count(), 2000))
+    placed = materialised(placed.withColumn("meet", F.explode(meets)).select("root", "node", "own", "meet.i", "meet.j"), "placed")
+    n = placed.count()
+    data = sets.withColumnRenamed("c", "node").join(F.broadcast(placed) if n <= MOST_BROADCAST else placed, "node")
+    n_bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pieces(n, 2000))
 
     def go(f):
         import pandas as pd
@@ -311,9 +321,10 @@ def _verified(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """c, n, set of the classes in wanted (c, n, doc_id), from the text of one document of each."""
-    ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
-    ids = F.broadcast(ids) if wanted.count() <= MOST_BROADCAST else ids
+    """c, n, set of the classes in wanted (c, n, doc_id), from the text of one document of each (of all rows that repeat it)."""
+    wanted = materialised(wanted, "wanted")
+    few = F.broadcast if wanted.count() <= MOST_BROADCAST else lambda x: x
+    ids = few(wanted.select(F.col("doc_id").alias("_id")).distinct())
     texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
     def go(batches: Iterator) -> Iterator:
@@ -325,7 +336,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["c", "n", "set"])
 
     made = texts.select("text").mapInArrow(go, "c long, n long, set array<long>")
-    return made.join(wanted.select("c", "n").distinct(), ["c", "n"], "left_semi").dropDuplicates(["c"])
+    return made.join(few(wanted.select("c", "n")), ["c", "n"], "left_semi")
 
 
 def linked_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -335,12 +346,12 @@ def linked_components(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     every = materialised(sigs.filter("n > 0").groupBy("c", "n").agg(F.min("doc_id").alias("doc_id")), "classes")
     histogram = {r["n"]: r["k"] for r in every.groupBy("n").agg(F.count("*").alias("k")).filter(F.col("n") <= 2 * LARGEST_SMALL).collect()}
     b = boundary(histogram, percent)
-    chosen = materialised(sigs.filter((F.col("n") > 0) & (100 * F.col("n") >= percent * (b + 1))).select("c", "n", "prefix", "sig").dropDuplicates(["c"]), "large")
+    chosen = materialised(sigs.filter((F.col("n") > 0) & (100 * F.col("n") >= percent * (b + 1))).select("c", "n", "prefix", "sig", "big").dropDuplicates(["c"]), "large")
     groups = components(_candidates(chosen, percent))
     grouped = materialised(groups, "groups")
-    wanted = every.join(grouped.select(F.col("node").alias("c")), "c", "left_semi").union(every.filter(F.col("n") <= b))
-    sets = materialised(_sets_of(docs, wanted.distinct(), words), "members")
-    edges = _verified(grouped, sets.select("c", "set"), percent).union(_small_edges(sets.filter(F.col("n") <= b), b, percent))
+    sets = _sets_of(docs, every.join(grouped.select(F.col("node").alias("c")), "c", "left_semi"), words)
+    small = _sets_of(docs, every.filter(F.col("n") <= b), words)
+    edges = _verified(grouped, sets.select("c", "set"), percent).union(_small_edges(small, b, percent))
     roots = components(edges)
     least = every.select("c", F.col("doc_id").alias("first")).join(roots.withColumnRenamed("node", "c"), "c", "left")
     of_root = least.filter("root is not null").groupBy("root").agg(F.min("first").alias("component_id"))
