@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialised, pieces
+from .common import WORD, documents, materialised, pieces
 from .components import components
 
 WORDS, PERCENT = 3, 90
@@ -148,7 +148,7 @@ def _tokens(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _signatures(docs: DataFrame, heavy: np.ndarray, words: int, percent: int) -> DataFrame:
-    """doc_id, c (class), n, prefix, sig of every document."""
+    """doc_id, t (hash of the text), c (class), n, prefix and bitmaps of every document."""
     sent = docs.sparkSession.sparkContext.broadcast(heavy)  # MOST_HEAVY longs at most
 
     def go(batches: Iterator) -> Iterator:
@@ -161,16 +161,17 @@ def _signatures(docs: DataFrame, heavy: np.ndarray, words: int, percent: int) ->
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(2),
                         pa.array([_set_id(s) for s in sets], pa.int64()),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([_prefix(s, sent.value, percent) for s in sets], pa.list_(pa.int64())),
                         pa.array([_parity(s) for s in sets], pa.list_(pa.int64())),
                         pa.array([_parity(s, BIG) if len(s) >= BIG_FROM else None for s in sets], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "c", "n", "prefix", "sig", "big"],
+                    names=["doc_id", "t", "c", "n", "prefix", "sig", "big"],
                 )
 
-    return docs.mapInArrow(go, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, c long, n long, prefix array<long>, sig array<long>, big array<long>")
+    return docs.mapInArrow(go, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t long, c long, n long, prefix array<long>, sig array<long>, big array<long>")
 
 
 def _heavy(docs: DataFrame, words: int, percent: int) -> np.ndarray:
@@ -340,8 +341,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def linked_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id for every row of docs (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
+    """doc_id, t (hash of the text), n_shingles, class_id, component_id, root (names a component for certain) for every row of docs."""
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
     sigs = materialised(_signatures(docs, _heavy(docs, words, percent), words, percent), "sets")
     every = materialised(sigs.filter("n > 0").groupBy("c", "n").agg(F.min("doc_id").alias("doc_id")), "classes")
     histogram = {r["n"]: r["k"] for r in every.groupBy("n").agg(F.count("*").alias("k")).filter(F.col("n") <= 2 * LARGEST_SMALL).collect()}
@@ -355,16 +356,34 @@ def linked_components(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     roots = components(edges)
     least = every.select("c", F.col("doc_id").alias("first")).join(roots.withColumnRenamed("node", "c"), "c", "left")
     of_root = least.filter("root is not null").groupBy("root").agg(F.min("first").alias("component_id"))
-    named = least.join(of_root, "root", "left").select("c", "first", F.coalesce("component_id", "first").alias("component_id"))
-    out = sigs.select("doc_id", "n", "c").join(named, "c", "left")
+    named = least.join(of_root, "root", "left").select("c", "first", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("root", "c").alias("root"))
+    out = sigs.select("doc_id", "t", "n", "c").join(named, "c", "left")
     alone = F.col("n") == 0
     return out.select(
         "doc_id",
+        "t",
+        F.when(~alone, F.col("root")).alias("root"),
         F.col("n").alias("n_shingles"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("first")).alias("class_id"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
 
 
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs without all but one (smallest doc_id, then text hash) of each component; documents without words stay."""
+    rows = materialised(linked_components(docs, words, percent).select("doc_id", "t", "root"), "verdicts")
+    first = rows.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "t")).alias("keep"), F.count("*").alias("k")).filter("k > 1")
+    member = rows.join(first, "root")
+    differs = ~(F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & F.col("t").eqNullSafe(F.col("keep.t")))
+    drop = materialised(member.filter(differs).select(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).distinct(), "drop")
+    again = member.filter(~differs).groupBy("root").count().filter("count > 1").limit(1).count() > 0
+    few = F.broadcast(drop) if drop.count() <= MOST_BROADCAST else drop
+    kept = docs.join(few, F.col("doc_id").eqNullSafe(F.col("_d")) & F.xxhash64("text").eqNullSafe(F.col("_t")), "left_anti")
+    if not again:
+        return kept
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(WORD)  # rows that repeat both id and text
+    return kept.filter(worded).dropDuplicates(["doc_id", "text"]).union(kept.filter(~worded))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "class_id")
