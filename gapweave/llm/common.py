@@ -17,6 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    lean(spark)
     return table(spark, sf_dir, "documents").select(*(columns or ("doc_id", "text")))
 
 
@@ -50,3 +51,10 @@ def hash64(*columns) -> F.Column:
 def pieces(n: int, each: int, least: int = 1) -> int:
     """Number of partitions so that each gets about `each` of n things."""
     return max(least, -(-n // each))
+
+
+def lean(spark: SparkSession, rows: int = 1024) -> None:
+    """Arrow batches of at most so many rows: long texts would make the usual ones large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, materialised, pieces
+from .common import WORD, documents, lean, materialised, pieces
 from .components import components
 
 WORDS, PERCENT = 3, 90
@@ -39,7 +39,7 @@ LARGEST_SMALL = 36
 SIG = 4
 #: Sets of at least BIG_FROM shingles have a second bitmap of BIG longs, which only pairs that pass the first fetch.
 BIG_FROM, BIG = 500, 64
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 ROWS = 1024
 MOST_BROADCAST = 1_000_000
 
@@ -199,26 +199,28 @@ def boundary(histogram: dict[int, int], percent: int = PERCENT) -> int:
     return at
 
 
-def _small_edges(sets: DataFrame, most: int, percent: int) -> DataFrame:
-    """sets: c, n, set with n <= most.  a, b: classes that share a subset."""
+def _small_edges(docs: DataFrame, wanted: DataFrame, most: int, words: int, percent: int) -> DataFrame:
+    """wanted: the classes of at most `most` shingles.  a, b: classes that share a subset."""
 
     def go(batches: Iterator) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
         import xxhash
 
-        for f in batches:
-            c_out, key_out, low_out = [], [], []
-            for c, s in zip(f["c"], f["set"], strict=True):
-                for t in partners(len(s), percent):
-                    if 0 < t <= most:
-                        lo, hi = min(t, len(s)), max(t, len(s))
-                        for sub in combinations(s, needed(lo, hi, percent)):
-                            key_out.append(xxhash.xxh3_64_intdigest(np.array(sub, np.int64).tobytes(), lo * 64 + hi) - 2**63)
-                            c_out.append(c)
-                            low_out.append(c if len(s) == lo else None)
-            yield pd.DataFrame({"key": pd.Series(key_out, dtype="int64"), "c": pd.Series(c_out, dtype="int64"), "low": pd.Series(low_out, dtype="Int64")})
-
-    keyed = sets.mapInPandas(go, "key long, c long, low long")
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                c_out, key_out, low_out = [], [], []
+                for s in shingler(words).sets(batch.slice(at, ROWS).column(0).to_pylist()):
+                    c = _set_id(s)
+                    for t in partners(len(s), percent) if len(s) <= most else ():
+                        if 0 < t <= most:
+                            lo, hi = min(t, len(s)), max(t, len(s))
+                            for sub in combinations(s, needed(lo, hi, percent)):
+                                key_out.append(xxhash.xxh3_64_intdigest(np.array(sub, np.int64).tobytes(), lo * 64 + hi) - 2**63)
+                                c_out.append(c)
+                                low_out.append(c if len(s) == lo else None)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key_out, c_out, low_out)], names=["key", "c", "low"])
+
+    keyed = _texts_of(docs, wanted).mapInArrow(go, "key long, c long, low long")
     # All of a key link with one of the lower size, if there is any.
     heads = keyed.groupBy("key").agg(F.min("low").alias("a"), F.count("*").alias("k")).filter("k > 1 and a is not null").select("key", "a")
     return keyed.join(heads, "key").select("a", F.col("c").alias("b")).filter("a <> b").distinct()
@@ -301,7 +303,7 @@ def _verified(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     placed = materialised(placed.withColumn("meet", F.explode(meets)).select("root", "node", "own", "meet.i", "meet.j"), "placed")
     n = placed.count()
     data = sets.withColumnRenamed("c", "node").join(F.broadcast(placed) if n <= MOST_BROADCAST else placed, "node")
-    n_bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pieces(n, 2000))
+    n_bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pieces(n, 500))
 
     def go(f):
         import pandas as pd
@@ -321,12 +323,15 @@ def _verified(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return binned.groupBy("bin").applyInPandas(go, "a long, b long")
 
 
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """text of one document of each class in wanted (and of whatever shares its doc_id)."""
+    ids = materialised(wanted.select(F.col("doc_id").alias("_id")).distinct(), "wanted")
+    few = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+    return docs.join(few, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """c, n, set of the classes in wanted (c, n, doc_id), from the text of one document of each (of all rows that repeat it)."""
-    wanted = materialised(wanted, "wanted")
-    few = F.broadcast if wanted.count() <= MOST_BROADCAST else lambda x: x
-    ids = few(wanted.select(F.col("doc_id").alias("_id")).distinct())
-    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """c, set of the classes in wanted (c, n, doc_id), and maybe of others."""
 
     def go(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -334,14 +339,14 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, ROWS):
                 sets = shingler(words).sets(b.slice(at, ROWS).column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["c", "n", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["c", "set"])
 
-    made = texts.select("text").mapInArrow(go, "c long, n long, set array<long>")
-    return made.join(few(wanted.select("c", "n")), ["c", "n"], "left_semi")
+    return _texts_of(docs, wanted).mapInArrow(go, "c long, set array<long>")
 
 
 def linked_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, t (hash of the text), n_shingles, class_id, component_id, root (names a component for certain) for every row of docs."""
+    lean(docs.sparkSession)
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
     sigs = materialised(_signatures(docs, _heavy(docs, words, percent), words, percent), "sets")
     every = materialised(sigs.filter("n > 0").groupBy("c", "n").agg(F.min("doc_id").alias("doc_id")), "classes")
@@ -351,8 +356,7 @@ def linked_components(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     groups = components(_candidates(chosen, percent))
     grouped = materialised(groups, "groups")
     sets = _sets_of(docs, every.join(grouped.select(F.col("node").alias("c")), "c", "left_semi"), words)
-    small = _sets_of(docs, every.filter(F.col("n") <= b), words)
-    edges = _verified(grouped, sets.select("c", "set"), percent).union(_small_edges(small, b, percent))
+    edges = _verified(grouped, sets, percent).union(_small_edges(docs, every.filter(F.col("n") <= b), b, words, percent))
     roots = components(edges)
     least = every.select("c", F.col("doc_id").alias("first")).join(roots.withColumnRenamed("node", "c"), "c", "left")
     of_root = least.filter("root is not null").groupBy("root").agg(F.min("first").alias("component_id"))
