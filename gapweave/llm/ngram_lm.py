@@ -19,21 +19,30 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialised, pieces
+from .common import WORD, documents, pieces
 from .jaccard import _mix
 
 ORDER, MIN_COUNT, BACKOFF = 3, 2, 0.4
-BLOCK_DOCS, BUCKET_DOCS = 1024, 2048
-MESSAGE = "bucket int, block int, grams binary, counts binary"
+BLOCK_DOCS, BUCKET_DOCS = 2048, 2048
+MESSAGE = "n int, bucket int, block int, grams binary, counts binary"
 
 
-def pack(x: np.ndarray) -> bytes:
-    """Whole numbers as byte planes; planes of zeros take no room in a shuffle."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+def pack(x: np.ndarray, rising: bool = False) -> bytes:
+    """Whole numbers (rising ones as their steps) as compressed byte planes."""
+    import pyarrow as pa
 
+    steps = np.diff(x, prepend=x.dtype.type(0)) if rising else x
+    planes = steps.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(x).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
-def unpack(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel()
+
+def unpack(b: bytes, rising: bool = False) -> np.ndarray:
+    import pyarrow as pa
+
+    n = int.from_bytes(b[:8], "little")
+    planes = pa.decompress(b[8:], decompressed_size=8 * n, codec="zstd", asbytes=True)
+    x = np.frombuffer(planes, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel()
+    return np.cumsum(x, dtype=np.uint64) if rising else x
 
 
 class Block:
@@ -85,12 +94,14 @@ class Block:
         return np.bincount(self.owner, s, len(self.size))
 
 
-def _state(docs, replies) -> Block:
+def _state(docs, replies, order: int) -> Block:
+    """The block with the counts of all orders up to `order`."""
     block = Block(docs["text"].tolist())
-    for n, own in replies.groupby("n", sort=True) if len(replies) else ():
+    for n in range(1, order + 1):
         distinct, _, at = block.grams()
-        parts = [unpack(c) for c in own.sort_values("bucket")["counts"]]
-        block.learn(np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64), at)
+        own = replies[replies["n"] == n].sort_values("bucket")["counts"]
+        total = np.concatenate([unpack(c) for c in own]).astype(np.int64) if len(own) else np.zeros(len(distinct), np.int64)
+        block.learn(total, at)
     return block
 
 
@@ -100,20 +111,35 @@ def _cut(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(hashes, np.array([min(i * width, 2**64 - 1) for i in range(buckets)] or [0], np.uint64))
 
 
+def _messages(block: Block, name: int, n: int, buckets: int) -> list[tuple]:
+    hashes, counts, _ = block.grams()
+    cuts = [*_cut(hashes, buckets), len(hashes)]
+    return [(n, i, name, pack(hashes[a:b], True), pack(counts[a:b])) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+
+
+def _frame(rows: list[tuple]):
+    import pandas as pd
+
+    return pd.DataFrame(rows, columns=["n", "bucket", "block", "grams", "counts"])
+
+
+def _send_first(buckets: int, order: int):
+    """Orders 1 and 2, which need nothing."""
+
+    def go(key, docs):
+        block = Block(docs["text"].tolist())
+        rows = _messages(block, int(key[0]), 1, buckets)
+        if order > 1:
+            block.counts.append(np.zeros(len(block.word), np.int64))
+            rows += _messages(block, int(key[0]), 2, buckets)
+        return _frame(rows)
+
+    return go
+
+
 def _send(buckets: int, order: int):
     def go(key, docs, replies):
-        import pandas as pd
-
-        if not len(docs):
-            return pd.DataFrame({"bucket": [], "block": [], "grams": [], "counts": []})
-        block = _state(docs, replies)
-        while len(block.counts) < order - 1:  # nothing of a lower order was there
-            d, _, at = block.grams()
-            block.learn(np.zeros(len(d), np.int64), at)
-        hashes, counts, _ = block.grams()
-        cuts = [*_cut(hashes, buckets), len(hashes)]
-        rows = [(i, int(key[0]), pack(hashes[a:b]), pack(counts[a:b])) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-        return pd.DataFrame(rows, columns=["bucket", "block", "grams", "counts"])
+        return _frame(_messages(_state(docs, replies, order - 1), int(key[0]), order, buckets) if len(docs) else [])
 
     return go
 
@@ -122,24 +148,19 @@ def _count(f):
     """All messages of a partition: the corpus count of each n-gram, back to its block."""
     import pandas as pd
 
-    grams = [unpack(g) for g in f["grams"]]
+    grams = [unpack(g, True) for g in f["grams"]]
     counts = np.concatenate([unpack(c) for c in f["counts"]]).astype(np.int64)
     _, inverse = np.unique(np.concatenate(grams), return_inverse=True)
     total = np.bincount(inverse, counts)[inverse].astype(np.int64)
-    ends = np.cumsum([len(g) for g in grams])
-    back = np.split(total, ends[:-1])
-    sent = np.split(counts, ends[:-1])
-    return pd.DataFrame({"bucket": f["bucket"], "block": f["block"], "counts": [pack(b) for b in back], "words": [int(s.sum()) for s in sent]})
+    back = np.split(total, np.cumsum([len(g) for g in grams])[:-1])
+    return pd.DataFrame({"n": f["n"], "bucket": f["bucket"], "block": f["block"], "counts": [pack(b) for b in back]})
 
 
 def _score(order: int, words: int):
     def go(key, docs, replies):
         import pandas as pd
 
-        block = _state(docs, replies)
-        while len(block.counts) < order:
-            d, _, at = block.grams()
-            block.learn(np.zeros(len(d), np.int64), at)
+        block = _state(docs, replies, order)
         return pd.DataFrame({"key": docs["key"], "n_words": block.size, "score": block.scores(words)})
 
     return go
@@ -147,19 +168,17 @@ def _score(order: int, words: int):
 
 def backoff_scores(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
     """key, n_words long, score double (sum of ln S) of each row, with counts over all rows."""
-    spark = df.sparkSession
-    n = df.count()
-    blocks, buckets = pieces(n, BLOCK_DOCS), pieces(n, BUCKET_DOCS)
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("key", "text"), F.lit(blocks)).cast("int")).repartition(max(parts, min(blocks, 4 * parts)), "block")
-    replies = spark.createDataFrame([], "n int, bucket int, block int, counts binary, words long")
-    for k in range(1, order + 1):
-        messages = dealt.select("block", "text").groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(_send(buckets, k), MESSAGE)
-        got = messages.groupBy("bucket").applyInPandas(_count, "bucket int, block int, counts binary, words long")
-        got = materialised(got.select(F.lit(k).alias("n"), "bucket", "block", "counts", "words"), "counts")
-        replies = replies.unionByName(got) if k > 1 else got
-    words = replies.filter("n = 1").agg(F.sum("words")).first()[0] or 0
+    sizes = rows.agg(F.count("*"), F.sum(F.regexp_count("text", F.lit(WORD)))).first()
+    n, words = sizes[0], sizes[1] or 0
+    blocks, buckets = pieces(n, BLOCK_DOCS), pieces(n, BUCKET_DOCS)
+    # one shuffle of texts, which every order and the score read again
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("key", "text"), F.lit(blocks)).cast("int")).repartition("block")
+    reply = "n int, bucket int, block int, counts binary"
+    replies = dealt.groupBy("block").applyInPandas(_send_first(buckets, order), MESSAGE).groupBy("n", "bucket").applyInPandas(_count, reply)
+    for k in range(3, order + 1):
+        more = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(_send(buckets, k), MESSAGE)
+        replies = replies.union(more.groupBy("n", "bucket").applyInPandas(_count, reply))
     schema = f"key {rows.schema['key'].dataType.simpleString()}, n_words long, score double"
     return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(_score(order, words), schema).withColumnRenamed("key", key)
 
