@@ -32,7 +32,7 @@ LEAF_CHARS = 4096
 LEAF_BYTES = 256
 SPREAD_CHARS = 1 << 20
 #: A worker's cache of units starts anew at this size; it bounds memory, not results.
-CACHE_UNITS = 250_000
+CACHE_UNITS = 150_000
 ROWS = 512
 
 #: Ranges in which every Unicode version since 9 agrees on letters, digits and spaces; other text is

@@ -25,7 +25,7 @@ ROUNDS = 3
 SMOOTHING = 0.5
 #: Of a character that no piece covers, in every language.
 LONE = 1e-7
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 AT_ONCE = 50_000
 ROWS = 1024
 NONE = "und"

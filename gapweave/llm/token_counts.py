@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import documents
 from .pieces import MARK, SIDE_BY_SIDE, Pieces, by_end, default_path, vocabulary
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 AT_ONCE = 50_000
 ROWS = 1024
 
