@@ -23,7 +23,7 @@ from .common import WORD, documents, pieces
 from .jaccard import _mix
 
 ORDER, MIN_COUNT, BACKOFF = 3, 2, 0.4
-BLOCK_DOCS, BUCKET_DOCS = 2048, 2048
+BLOCK_DOCS, BUCKET_DOCS = 3072, 2048
 MESSAGE = "n int, bucket int, block int, grams binary, counts binary"
 
 
