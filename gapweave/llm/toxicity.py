@@ -330,10 +330,15 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, toxic of the rows to learn from: none that is held out."""
-    marks = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic is not null").filter(~held_out()).dropDuplicates()
-    return docs.select("doc_id", "text").filter(~held_out()).join(marks, "doc_id")
+def labelled(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> DataFrame:
+    """doc_id, text, toxic of the rows to learn from: none that is held out, at most so many labels of either kind.
+
+    Labels are chosen before their texts are looked up, so texts aren't shuffled; the chosen ids are few whatever the table's size.
+    """
+    marks = labels.select("doc_id", "toxic").filter("doc_id is not null").filter(F.col("toxic").isin(0, 1) & ~held_out()).dropDuplicates()
+    marks = marks.withColumn("_h", F.xxhash64(F.col("doc_id").cast("string")))
+    some = [marks.filter(F.col("toxic") == v).orderBy("_h", "doc_id").limit(n).drop("_h") for v, n in ((1, toxic), (0, clean))]
+    return docs.select("doc_id", "text").join(F.broadcast(some[0].union(some[1])), "doc_id")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
