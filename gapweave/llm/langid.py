@@ -26,7 +26,8 @@ SMOOTHING = 0.5
 #: Of a character that no piece covers, in every language.
 LONE = 1e-7
 CACHE_WORDS = 150_000
-AT_ONCE = 50_000
+#: Words side by side in the forward algorithm; a block's table is words x positions x languages.
+AT_ONCE = 4096
 ROWS = 1024
 NONE = "und"
 LETTER = r"\p{L}"
@@ -171,8 +172,11 @@ class Model:
 
 def train(labelled: DataFrame, path: str, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Model:
     """From rows of labelled; those without text or lang are left out."""
-    rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string")).alias("h"))
-    some = rows.orderBy("h", "lang", F.xxhash64("text")).limit(sample_docs)
+    marks = [F.xxhash64(F.col(key).cast("string")).alias("h"), F.xxhash64(F.col(text)).alias("t")]
+    rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), *marks)
+    # rows are chosen by their marks before their texts are looked up, so texts aren't sorted; equal rows count once
+    chosen = rows.select("h", "lang", "t").distinct().orderBy("h", "lang", "t").limit(sample_docs)
+    some = rows.join(F.broadcast(chosen), ["h", "lang", "t"]).dropDuplicates(["h", "lang", "t"])
     counted = some.select("lang", F.explode(F.split(F.lower(F.trim("text")), r"\s+")).alias("word")).filter("word <> ''").groupBy("lang", "word").count().collect()
     langs = sorted({r["lang"] for r in counted})
     index: dict[str, int] = {}
