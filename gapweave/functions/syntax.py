@@ -182,7 +182,9 @@ class Source:
         self.lists: list[dict] = []
         self.stmts: list[dict] = []
         self.bodies: set[int] = set()
+        self.operations: list[tuple[int, str]] = []
         self.body(0, self.n, "Module", None, 0, len(text))
+        self.freeze()
 
     def w(self, i: int) -> str:
         """The word at token i; quoted text can't be taken for one."""
@@ -217,7 +219,7 @@ class Source:
                 if self.line(a) != open_line or a >= limit:
                     break
                 open_line = max(open_line, self.line(b - 1))
-        self.lists[number] = {"list_id": number, "braced": brace is not None, "open_line": open_line, "first_line": own[0]["top_line"] if own else None, "last_line": own[-1]["bottom_line"] if own else None, "close_line": close_line}
+        self.lists[number] = {"list_id": number, "braced": brace is not None, "open_line": open_line, "start": start, "limit": limit, "first_line": next((x for x in own[0]["tops"] if x > open_line), own[0]["line"]) if own else None, "last_line": own[-1]["bottom_line"] if own else None, "close_line": close_line}
         self.depth -= 1
         return own
 
@@ -264,16 +266,20 @@ class Source:
             self.inner(i + 2, m[i + 1])
             then = self.statement(m[i + 1] + 1, j)
             e = then["end"]
+            arms = [(i, m[i + 1] + 1, then)]
             if self.w(e) == "else" and e < j:
-                return {"end": self.statement(e + 1, j)["end"], "kind": "If"}
+                other = self.statement(e + 1, j)
+                more = other.get("arms") if other["kind"] == "If" else None
+                return {"end": other["end"], "kind": "If", "arms": arms + ([(e, *more[0][1:]), *more[1:]] if more else [(e, e + 1, other)])}
             held = then.get("held")
             one = held is None or len(held) == 1
             jump = (held[0]["kind"] if held else then["kind"]) if one else None
-            return {"end": e, "kind": "If", "guard": one, "jump": jump if jump in JUMPS.values() else None, "bare": m[i + 1] + 1 if held is None else None}
+            return {"end": e, "kind": "If", "guard": one, "jump": jump if jump in JUMPS.values() else None, "arms": arms}
         if w in ("for", "while") and (nxt == "(" or nxt == "await"):
             p = i + 1 if nxt == "(" else i + 2
             self.inner(p + 1, m[p])
-            return {"end": self.statement(m[p] + 1, j)["end"], "kind": "Loop"}
+            then = self.statement(m[p] + 1, j)
+            return {"end": then["end"], "kind": "Loop", "arms": [(i, m[p] + 1, then)]}
         if w == "do":
             e = self.statement(i + 1, j)["end"]
             if self.w(e) == "while":
@@ -287,12 +293,12 @@ class Source:
             return {"end": m[b] + 1, "kind": "Switch"}
         if w == "try" and nxt == "{":
             self.block(i + 1)
-            e, last = m[i + 1] + 1, []
+            e, last = m[i + 1] + 1, (0, 0)
             while self.w(e) in ("catch", "finally") and e < j:
                 b = m[e + 1] + 1 if self.w(e + 1) == "(" else e + 1
-                held = self.block(b)
-                last, e = held if self.w(e) == "finally" else [], m[b] + 1
-            return {"end": e, "kind": "Try", "finally_ops": [x["operation"] for x in last if x["operation"]]}
+                self.block(b)
+                last, e = (b, m[b]) if self.w(e) == "finally" else last, m[b] + 1
+            return {"end": e, "kind": "Try", "finally_ops": [x for k, x in self.operations if last[0] < k < last[1]]}
         if w == "@":
             e = i + 2
             while self.w(e) in (".", "("):
@@ -323,7 +329,10 @@ class Source:
             return {"end": self.statement(i + 2, j)["end"], "kind": "Other"}
         e = self.expression_end(i, j)
         self.inner(i, e)
-        return {"end": e, "kind": JUMPS.get(w, "Other"), "names": [] if w in JUMPS else self.assigned(i, e)}
+        names = [] if w in JUMPS else self.assigned(i, e)
+        operation = self.operation(i, e, names)
+        self.operations += [(i, operation)] if operation else []
+        return {"end": e, "kind": JUMPS.get(w, "Other"), "names": names, "operation": operation}
 
     def exported(self, i: int, j: int) -> dict:
         nxt = self.w(i + 1)
@@ -332,7 +341,7 @@ class Source:
             return {"end": e, "kind": "Import" if "from" in (self.w(k) for k in range(i, e)) else "Other"}
         if nxt == "default":
             s = self.statement(i + 2, j)
-            return {"end": s["end"], "kind": "Function" if s["kind"] == "Function" else "Other"}
+            return s | {"kind": "Function" if s["kind"] == "Function" else "Other"}
         return self.statement(i + 1, j) if nxt not in ("=", "as") else {"end": self.expression_end(i, j), "kind": "Other"}
 
     def function(self, i: int, at: int, j: int) -> dict:
@@ -487,6 +496,10 @@ class Source:
     def assigned(self, i: int, e: int) -> list[str]:
         if self.w(i) in ("[", "{") and self.w(self.m[i] + 1) == "=":
             return self.pattern(i, e)
+        if self.w(i) == "(" and (self.m[i] == i + 2 or self.w(i + 2) in ("as", "satisfies")):  # a path whose base is asserted
+            rest, k = self.path(self.m[i], e)
+            name = self.t.word[i + 1] + rest[1:]
+            return [name] if self.t.kind[i + 1] == "id" and self.w(k) in ASSIGN else []
         if self.t.kind[i] != "id" or self.w(i) in KEYWORDS - {"this", "super"}:
             return []
         name, k = self.path(i, e)
@@ -552,6 +565,12 @@ class Source:
             if kind == "id" and self.w(k + 1) == "=>":
                 k = self.arrow_end(k + 2, j)
                 continue
+            if kind == "jsx":
+                for name in re.findall(r"<\s*([A-Za-z_$][\w$]*(?:\.[\w$]+)*)", self.t.word[k]):
+                    base = name.split(".")[0]
+                    if ("." in name or name[0].isupper()) and not any(a <= k < b and base in names for a, b, names in hidden):
+                        marks = [x.start() for x in re.finditer(r"\.", name)] + [len(name)]
+                        out.update(dict.fromkeys(name[:x] for x in marks))
             key = self.w(k + 1) == ":" and self.w(k - 1) in ("{", ",")
             if kind == "id" and (w not in KEYWORDS or w in ("this", "super")) and self.w(k - 1) not in (".", "?.") and not key:
                 if not any(a <= k < b and w in names for a, b, names in hidden):
@@ -563,26 +582,64 @@ class Source:
         return list(out)
 
     # facts and comments
+    def arm(self, i: int, body: int, s: dict) -> str | None:
+        """The header at token i and its body without braces as one line; None if it can't be one."""
+        head = self.src[self.t.start[i] : self.t.start[body]]
+        if "held" in s or "\n" in head.rstrip() or head.count("\n") > 1 or "//" in head or "/*" in head:
+            return None
+        a, b = self.t.start[body], self.t.end[s["end"] - 1]
+        one = self.src[a:b] if self.line(a) == self.line(b - 1) else self.arm(*s["arms"][0]) if len(s.get("arms") or ()) == 1 else None
+        return None if one is None else head.rstrip() + ("" if self.w(body) == ";" else " ") + one
+
+    def directive(self, a: int, b: int) -> str | None:
+        lead = r"/\*[\s*]*" if self.src.startswith("/*", a) else r"//\s*"
+        found = re.match(rf"{lead}{re.escape(self.marker)}-(ignore|off|on)(?![-\w$])", self.src[a:b])
+        return found[1] if found else None
+
+    def freeze(self) -> None:
+        """Statements between an off and its on, counted within the innermost braces, are left alone, as are lists that start there."""
+        marks = [(a, d) for a, b in self.t.comments if (d := self.directive(a, b)) in ("off", "on")]
+        if not marks:
+            return
+        spans = sorted((y["start"], y["limit"]) for y in self.lists if y["braced"])
+        regions, opened = [], {}
+        for a, d in marks:
+            home = max((x for x in spans if x[0] <= a < x[1]), default=(0, len(self.src)))
+            if d == "off":
+                first, depth = opened.get(home, (a, 0))
+                opened[home] = (first, depth + 1)
+            elif home in opened:
+                first, depth = opened.pop(home)
+                if depth > 1:
+                    opened[home] = (first, depth - 1)
+                else:
+                    regions.append((first, a))
+        regions += [(first, home[1]) for home, (first, _) in opened.items()]
+        held = lambda x: any(a <= x < b for a, b in regions)
+        gone = {y["list_id"] for y in self.lists[1:] if held(y["start"])}
+        self.lists = [y for y in self.lists if y["list_id"] not in gone]
+        self.stmts = [s | {"frozen": s["frozen"] or held(s["start"])} for s in self.stmts if s["list_id"] not in gone]
+
     def finished(self, s: dict, i: int) -> dict:
         e = s["end"]
         a, b = self.t.start[i], self.t.end[e - 1]
         compact = self.line(a) == self.line(b - 1)
         joined = False
-        if not compact and s.get("bare"):  # a body without braces on a line of its own
-            x = s["bare"]
-            head, tail = self.src[a : self.t.end[x - 1]], self.src[self.t.start[x] : b]
-            joined = "\n" not in head + tail and self.breaks(x) and "//" not in self.src[self.t.end[x - 1] : self.t.start[x]]
-            joined = joined and a - self.starts[self.line(a) - 1] + len(head) + 1 + len(tail) <= self.columns
+        if not compact and s.get("arms"):
+            texts = [self.arm(*x) for x in s["arms"]]
+            prefix = self.src[self.starts[self.line(a) - 1] : a]
+            indent = prefix[: len(prefix) - len(prefix.lstrip())]
+            joined = None not in texts and max(len(((indent if n else prefix) + x).expandtabs(2)) for n, x in enumerate(texts)) <= self.columns
         return {
             "kind": s["kind"], "start": a, "end": b, "compact": compact or joined, "multiline": not compact and not joined, "guard": bool(s.get("guard")), "jump": s.get("jump"),
             "case_body": bool(s.get("case_body")), "names": s.get("names") or [], "is_let": bool(s.get("is_let")), "reads": self.reads(i, e, s.get("root"), s.get("params")),
-            "operation": self.operation(i, e, s.get("names") or []), "finally_ops": s.get("finally_ops") or [],
+            "operation": s.get("operation"), "finally_ops": s.get("finally_ops") or [],
         }
 
     def attach(self, own: list[dict], opener: int, limit: int) -> None:
         """Lines of each statement with the comments that belong to it."""
         before, marks, above = opener, self.t.comments, None
-        for s in own:
+        for n, s in enumerate(own):
             first, last = self.line(s["start"]), self.line(s["end"] - 1)
             at = bisect_right(self.c_start, s["start"] - 1)
             lead = marks[min(bisect_right(self.c_start, before - 1), at) : at]
@@ -595,11 +652,16 @@ class Source:
                 if a >= limit or self.line(a) != last:
                     break
                 end = max(end, b)
-            frozen = bool(lead) and not detached and any(re.search(rf"\b{re.escape(self.marker)}-ignore\b", self.src[a:b]) for a, b in lead) and first - ends[-1] <= 1
-            s |= {"line": first, "col": self.column(s["start"]), "start_line": first if detached else tops[0], "end_line": self.line(end - 1), "top_line": tops[0], "bottom_line": self.line(end - 1), "detached": detached, "frozen": frozen}
+            if s["case_body"] and n + 1 < len(own):  # a comment that says so belongs to the clause that falls through
+                at = bisect_right(self.c_start, end - 1)
+                between = [c for c in marks[at : at + 2] if c[0] < own[n + 1]["start"]]
+                if len(between) == 1 and self.line(between[0][0]) == self.line(end - 1) + 1 and self.line(between[0][1] - 1) + 1 == self.line(own[n + 1]["start"]):
+                    end = between[0][1] if re.search(r"falls? ?through", re.sub(r"\s", " ", self.src[slice(*between[0])].lower())) else end
+            frozen = bool(lead) and not detached and any(self.directive(a, b) == "ignore" for a, b in lead) and first - ends[-1] <= 1
+            s |= {"line": first, "col": self.column(s["start"]), "start_line": first if detached else tops[0], "end_line": self.line(end - 1), "tops": tops, "bottom_line": self.line(end - 1), "detached": detached, "frozen": frozen}
             s["commented"] = tops[0] < first
             s["blanks"] = sum(not self.lines[n - 1].strip() for n in range(above + 1, s["start_line"])) if above else 0
-            before, above = s["end"], s["end_line"]
+            before, above = end, s["end_line"]
 
 
 def analyse(text: str | None, extension: str = "ts", marker: str = "gapweave", columns: int = COLUMNS) -> dict:
