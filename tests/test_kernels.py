@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from gapweave.functions.text import osa_distance
-from gapweave.plans import kernels
+from gapweave.plans import from_source, kernels  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
