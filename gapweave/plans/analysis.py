@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.once import once
 from ..functions.text import is_blank, lines
 from ..operators import gaps as g
 from ..operators import spacing as sp
@@ -51,7 +52,7 @@ def _walls(stmts: DataFrame, gaps: DataFrame) -> DataFrame:
 
 
 def _parts(files: DataFrame, marker: str, columns: int):
-    read = st.parsed(files, marker, columns)
+    read = once(st.parsed(files, marker, columns))
     stmts = st.statements(read)
     gaps = settled(stmts)
     rows = lines(files.select("path", "text"), "path", "text").withColumn("blank", is_blank("line_text"))
