@@ -568,7 +568,7 @@ class Source:
             if kind == "jsx":
                 for name in re.findall(r"<\s*([A-Za-z_$][\w$]*(?:\.[\w$]+)*)", self.t.word[k]):
                     base = name.split(".")[0]
-                    if ("." in name or name[0].isupper()) and not any(a <= k < b and base in names for a, b, names in hidden):
+                    if ("." in name or not "a" <= name[0] <= "z") and not any(a <= k < b and base in names for a, b, names in hidden):
                         marks = [x.start() for x in re.finditer(r"\.", name)] + [len(name)]
                         out.update(dict.fromkeys(name[:x] for x in marks))
             key = self.w(k + 1) == ":" and self.w(k - 1) in ("{", ",")

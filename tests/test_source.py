@@ -35,7 +35,8 @@ def test_names_and_reads():
     assert facts("this.a.b[k] = 1")["names"] == ["this.a.b[k]"] and facts("(q as T).x = 1")["names"] == ["q.x"]
     assert facts("if (a.b) { const c = 1; c(d, { e: f }, () => g) }")["reads"] == ["a", "a.b", "d", "f"]
     assert facts("function f(a) { return a + b }")["reads"] == ["f", "b"]
-    assert facts("return <A.B c={d} />")["kind"] == "Return"
+    jsx = analyse("return <p><A.B c={d} />{(E) => <E />}<_f /></p>", "tsx")["stmts"][0]
+    assert (jsx["kind"], jsx["reads"]) == ("Return", ["A", "A.B", "d", "_f"])
     assert (facts("if (x) throw y")["guard"], facts("if (x) throw y")["jump"], facts("if (x) { a(); b() }")["guard"]) == (True, "Throw", False)
 
 
