@@ -1,7 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A word's input is its own vector (by hash bucket) beside the mean of the vectors of its character n-grams
-(also by bucket; the word's ends count as characters).  A text is read in windows of WINDOW words that overlap by half,
+(also by bucket; the word's ends count as characters).  A word of more than WORD_CHARS characters is read to its
+end as pieces of PIECE_CHARS that overlap by half and count as a word each.  A text is read in windows of WINDOW words that overlap by half,
 all of them; shorter texts are one window.  In each window one recurrent layer reads forward and one backward, an attention layer
 weighs their states, and a linear layer scores the pooled state.  The text's score is the highest of its windows,
 through a logistic curve.
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import documents, table
 
 WINDOW, STRIDE = 24, 12
+WORD_CHARS, PIECE_CHARS = 64, 16
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 14, 1 << 15
 GRAMS = (3, 4, 5)
 DIM, HIDDEN = 8, 8
@@ -45,7 +47,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def word_inputs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket of each word; and (word, bucket) of each of its character n-grams.  Over bytes, all words at once."""
-    raw = [b"\x02" + w.encode("utf-8", "replace")[:256] + b"\x03" for w in words]
+    raw = [b"\x02" + w.encode("utf-8", "replace") + b"\x03" for w in words]
     size = np.array([len(r) for r in raw])
     flat = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
     owner = np.repeat(np.arange(len(raw)), size)
@@ -208,8 +210,17 @@ def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.minimum(place, max(int(sizes.sum()) - 1, 0)), mask, owner
 
 
+def words_of(text: str | None) -> list[str]:
+    """The words of a text, overlong ones as overlapping pieces."""
+    ws = (text or "").lower().split()
+    if max(map(len, ws), default=0) <= WORD_CHARS:
+        return ws
+    half = PIECE_CHARS // 2
+    return [p for w in ws for p in ([w] if len(w) <= WORD_CHARS else [w[a : a + PIECE_CHARS] for a in range(0, len(w) - half, half)])]
+
+
 def _laid_out(texts: list[str | None]):
-    split = [(t or "").lower().split() for t in texts]
+    split = [words_of(t) for t in texts]
     index: dict[str, int] = {}
     flat = np.fromiter((index.setdefault(w, len(index)) for ws in split for w in ws), np.int64, sum(map(len, split)))
     place, mask, owner = windows(np.array([len(ws) for ws in split], np.int64))

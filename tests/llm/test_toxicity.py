@@ -69,3 +69,19 @@ def test_odd_rows(spark):
     assert tox.score(df, net).count() == df.count() and tox.score(df.limit(0), net).count() == 0
     assert tox.keep_clean(df, net).columns == df.columns and tox.keep_clean(df, net).filter("doc_id is null").count() == 0
     assert {r.score for r in tox.score(df, tox.train(tox.labelled(df.limit(0), labels))).collect()} == {0.0}
+
+
+def test_long_words_are_read_to_their_end():
+    assert tox.words_of("Ab " + "x" * tox.WORD_CHARS) == ["ab", "x" * tox.WORD_CHARS]
+    for n in (65, 71, 72, 73, 128, 1000):
+        word = "".join(chr(0x4E00 + i) for i in range(n))
+        parts, half = tox.words_of(word), tox.PIECE_CHARS // 2
+        assert parts[0] + "".join(p[half:] for p in parts[1:]) == word
+        assert all(len(p) == tox.PIECE_CHARS for p in parts[:-1]) and half < len(parts[-1]) <= tox.PIECE_CHARS
+    rng = np.random.default_rng(5)
+    fine, foul = "今天天气很好我们去公园", "恶毒垃圾蠢货"
+    glue = lambda bad: "".join(fine[: rng.integers(1, 12)] for _ in range(rng.integers(1, 30))) + foul * bad + "".join(fine[: rng.integers(1, 12)] for _ in range(rng.integers(1, 30)))
+    labels = np.arange(200) % 2
+    net = tox.fit([glue(int(y)) for y in labels], labels)
+    got = tox.scores(net, [fine * 100, fine * 99 + foul + fine, fine * 100 + foul, fine * 10 + foul + fine * 500, fine * 600])
+    assert [bool(x) for x in got >= tox.THRESHOLD] == [False, True, True, True, False], got
