@@ -3,10 +3,10 @@
 A text is a sequence of tokens: runs of at most TOKEN_CHARS characters that aren't ASCII white
 space.  A k-mer is K tokens; its inner substrings are the S-token runs within it.  It is a closed
 syncmer if the smallest hash of these lies at its first or last place.  Whether a k-mer is one depends on
-its own tokens alone, so an edit elsewhere never moves an anchor.  The fingerprint keeps the KEEP
-anchors of smallest hash with their places.  Two fingerprints match where the same anchors stand at one
-common distance (the median) give or take DRIFT tokens; their likeness is the share of anchors
-among the smallest of both that match, as a Dice coefficient.
+its own tokens alone, so an edit elsewhere never moves an anchor.  The fingerprint holds every
+distinct anchor with its first place, so it grows with the text.  An anchor of both fingerprints matches where its distance
+(place in one less place in the other) is that of a neighbour among the common anchors, or the median, give or take DRIFT
+tokens; so matches follow any number of insertions, cuts and moved passages.  The likeness is the Dice coefficient of matches.
 
 Null text counts as empty.  Without tokens the fingerprint is empty; with fewer than K it is one anchor
 of all.  Two empty fingerprints have likeness 1, an empty one and another 0.  Rows of one doc_id are
@@ -21,7 +21,6 @@ from .common import documents
 
 K, S = 5, 2
 TOKEN_CHARS = 16
-KEEP = 64
 DRIFT = 16
 #: An anchor is one long: 39 bits of hash, 24 of place.
 PLACE_BITS = 24
@@ -31,7 +30,7 @@ LOWEST = -(2**63)
 
 
 def anchored(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with `out`: array<long>, the KEEP smallest anchors of the text, by hash."""
+    """df with `out`: array<long>, all anchors of the text, by hash."""
     keep = df.columns
     inner = K - S  # the last place of an inner substring
     place = (1 << PLACE_BITS) - 1
@@ -48,7 +47,7 @@ def anchored(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.select(*keep, F.sort_array(F.when(F.size("_h") >= K, closed).otherwise(short)).alias("_a"))
     head = lambda x: F.shiftright(x, PLACE_BITS)
     first = F.filter("_a", lambda x, i: (i == 0) | (head(x) != head(F.get(F.col("_a"), i - 1))))
-    return df.select(*keep, F.slice(first, 1, KEEP).alias(out))
+    return df.select(*keep, first.alias(out))
 
 
 def fingerprint(anchors: str) -> Column:
@@ -59,17 +58,16 @@ def fingerprint(anchors: str) -> Column:
 
 def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     keep = df.columns
-    heads = lambda c: F.transform(c, lambda x: F.shiftright(x, PLACE_BITS))
-    places = lambda c: F.transform(c, lambda x: x.bitwiseAND((1 << PLACE_BITS) - 1))
-    df = df.select(*keep, heads(a).alias("_ha"), heads(b).alias("_hb"))
-    df = df.select(*keep, "_ha", "_hb", F.slice(F.array_sort(F.array_union("_ha", "_hb")), 1, KEEP).alias("_u"))
-    df = df.select(*keep, F.size("_u").alias("_n"), F.array_intersect(F.array_intersect("_ha", "_hb"), "_u").alias("_s"), "_ha", "_hb")
-    df = df.select(*keep, "_n", "_s", F.map_from_arrays("_ha", places(a)).alias("_ma"), F.map_from_arrays("_hb", places(b)).alias("_mb"))
-    df = df.select(*keep, "_n", F.sort_array(F.transform("_s", lambda h: F.try_element_at("_mb", h) - F.try_element_at("_ma", h))).alias("_d"))
-    middle = F.get(F.col("_d"), (F.size("_d") / 2).cast("int"))
-    df = df.select(*keep, "_n", "_d", middle.alias("_m"))
-    hits = F.size(F.filter("_d", lambda d: F.abs(d - F.col("_m")) <= DRIFT))
-    return df.select(*keep, F.when(F.col("_n") == 0, 1.0).otherwise(2.0 * hits / (F.col("_n") + hits)).alias(out))
+    places = (1 << PLACE_BITS) - 1
+    # hash, side and place of each anchor of either; a common anchor's two then lie side by side
+    sided = lambda c, side: F.transform(c, lambda x: F.shiftleft(F.shiftright(x, PLACE_BITS), PLACE_BITS + 1).bitwiseOR(F.lit(side << PLACE_BITS).cast("long")).bitwiseOR(x.bitwiseAND(places)))
+    df = df.select(*keep, (F.size(a) + F.size(b)).alias("_n"), F.sort_array(F.concat(sided(a, 0), sided(b, 1))).alias("_m"))
+    common = F.filter(F.zip_with("_m", F.slice("_m", 2, F.greatest(F.size("_m") - 1, F.lit(0))), lambda x, y: F.when(F.shiftright(x, PLACE_BITS + 1) == F.shiftright(y, PLACE_BITS + 1), F.shiftleft(x.bitwiseAND(places), PLACE_BITS + 1).bitwiseOR(y.bitwiseAND(places) - x.bitwiseAND(places) + F.lit(places)))), lambda p: p.isNotNull())
+    df = df.select(*keep, "_n", F.transform(F.sort_array(common), lambda p: p.bitwiseAND(2 * places + 1)).alias("_d"))
+    df = df.select(*keep, "_n", "_d", F.get(F.sort_array("_d"), (F.size("_d") / 2).cast("int")).alias("_m"))
+    near = lambda d, other: F.coalesce(F.abs(d - other) <= DRIFT, F.lit(False))
+    hits = F.size(F.filter("_d", lambda d, i: near(d, F.col("_m")) | near(d, F.get(F.col("_d"), i - 1)) | near(d, F.get(F.col("_d"), i + 1))))
+    return df.select(*keep, F.when(F.col("_n") == 0, 1.0).otherwise(2.0 * hits / F.col("_n")).alias(out))
 
 
 def _range_of(ids: DataFrame) -> Column:
@@ -92,7 +90,8 @@ def _range_of(ids: DataFrame) -> Column:
 def edited_with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, anchors, next_text, next_anchors: each row beside the next by doc_id, the last beside the first.
 
-    One shuffle: rows are dealt by range of ids and each range's first row is also sent to the range before.
+    One shuffle: rows are dealt by range of ids and each range's first row is also sent to the range before.  Anchors, which grow
+    with the texts, are found after it.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("key"))
     where = _range_of(rows.select("key"))
@@ -100,7 +99,7 @@ def edited_with_next(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     before = [(k, heads[i - 1][0], int(i == 0)) for i, (_, k) in enumerate(heads)]
     ghosts = spark.createDataFrame(before, "key long, b int, wrap int")
-    own = anchored(rows, "text", "anchors").withColumn("b", where)
+    own = rows.withColumn("b", where)
     ghost_of = F.broadcast(ghosts.select(F.col("key").alias("gk"), F.col("b").alias("gb"), F.col("wrap").alias("gw")))
     both = own.join(ghost_of, own["key"] == ghost_of["gk"], "left").withColumn(
         "to",
@@ -111,10 +110,10 @@ def edited_with_next(docs: DataFrame) -> DataFrame:
             )
         ),
     )
-    dealt = both.select("doc_id", "key", "text", "anchors", F.explode("to").alias("to")).select("doc_id", "key", "text", "anchors", "to.*")
+    dealt = both.select("doc_id", "key", "text", F.explode("to").alias("to")).select("doc_id", "key", "text", "to.*")
     w = Window.partitionBy("b").orderBy("wrap", "key", F.xxhash64("text"), "ghost")
-    following = F.lead(F.struct("text", "anchors")).over(w)
-    return dealt.withColumn("next", following).filter(~F.col("ghost")).select("doc_id", "text", "anchors", F.col("next.text").alias("next_text"), F.col("next.anchors").alias("next_anchors"))
+    paired = dealt.withColumn("next_text", F.lead("text").over(w)).filter(~F.col("ghost")).select("doc_id", "text", "next_text")
+    return anchored(anchored(paired, "text", "anchors"), "next_text", "next_anchors")
 
 
 def compared(docs: DataFrame) -> DataFrame:

@@ -51,3 +51,17 @@ def test_odd_rows(spark):
     assert syncmers.compared(df.limit(0)).count() == 0
     one = run(spark, df.filter("doc_id = 7"))[0]
     assert one.near_next == 1.0 and one.edited == "one two three four fi" + "one tw"
+
+
+def test_long_texts_keep_all_anchors(spark):
+    """A passage changed in a long text leaves a trace, and matches go on behind any insertions."""
+    words = [f"w{i}" for i in range(4000)]
+    other = [f"v{i}" for i in range(120)]
+    near = words[:3000] + other[:50] + words[3050:]
+    pushed = words[:1000] + other[:40] + words[1000:2000] + other[40:80] + words[2000:3000] + other[80:] + words[3000:]
+    df = spark.createDataFrame([(" ".join(words), " ".join(x)) for x in (words, near, pushed, other)], "a string, b string")
+    df = syncmers.anchored(syncmers.anchored(df, "a", "x"), "b", "y")
+    same, changed, inserted, none = [(r.x, r.y, r.z) for r in syncmers.with_likeness(df, "x", "y", "z").collect()]
+    assert len(same[0]) > 1500 and same[2] == 1.0 and none[2] == 0.0
+    assert changed[0] != changed[1] and 0.97 < changed[2] < 1.0
+    assert 0.95 < inserted[2] < 1.0
