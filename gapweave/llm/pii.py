@@ -1,7 +1,8 @@
 """Personal data: exact patterns, and spans that a semi-Markov conditional random field adds.
 
 The base patterns are matched leftmost and without overlap within a kind, in time linear in the text; matches that fail
-their check are dropped and not tried again.  The field works on stretches of tokens around digits and signs of an address.
+their check are dropped and not tried again.  The field works on stretches of MOST_TOKENS tokens on either side of digits and signs
+of an address, in capitals or not, so every span that it has features for lies whole in one.
 It scores whole candidate spans of at most MOST_TOKENS tokens by features of the span (digits, groups, separators,
 checksums, its neighbours) and one dynamic program picks the best set of boundaries and kinds; base spans
 are fixed and added ones never overlap them.  Its weights are fitted by gradient ascent on the conditional likelihood
@@ -12,6 +13,7 @@ empty table gives none; other columns are ignored by find() and kept by redact()
 """
 from __future__ import annotations
 
+import bisect
 import functools
 import random
 import re
@@ -25,7 +27,6 @@ from .common import documents
 
 KINDS = ("email", "ip", "card", "phone")
 MOST_TOKENS = 16
-AROUND = 24
 ROWS = 1024
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -34,7 +35,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-TRIGGER = re.compile(r"[0-9@]|\bdot\b|[\[({<] ?at ?[\])}>]")
+TRIGGER = re.compile(r"[0-9@]|\bdot\b|[\[({<] ?at ?[\])}>]|(?<=\w) at (?=\w)", re.I)
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]|_|\d")
 
 
@@ -285,18 +286,17 @@ def fit(rounds: int = 30, rate: float = 0.5, decay: float = 2e-3) -> Field:
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
+    tokens = [m.span() for m in TOKEN.finditer(text)]
+    starts, ends = [a for a, _ in tokens], [b for _, b in tokens]
     out: list[list[int]] = []
     for m in TRIGGER.finditer(text):
-        lo, hi = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
+        # the first token that ends behind the trigger's start, the last that starts before its end
+        lo = starts[max(0, bisect.bisect_right(ends, m.start()) - MOST_TOKENS)]
+        hi = ends[min(len(ends), bisect.bisect_left(starts, m.end()) + MOST_TOKENS) - 1]
         if out and lo <= out[-1][1]:
             out[-1][1] = hi
         else:
             out.append([lo, hi])
-    for r in out:  # to the ends of words
-        while r[0] > 0 and text[r[0] - 1].isalnum():
-            r[0] -= 1
-        while r[1] < len(text) and text[r[1]].isalnum():
-            r[1] += 1
     return [(a, b) for a, b in out]
 
 

@@ -94,3 +94,15 @@ def test_table(spark):
         want = plain(r.text)
         assert got[r.doc_id].base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in want).encode()).hexdigest()
         assert [got[r.doc_id][f"n_{k}"] for k in pii.KINDS] == [sum(x[0] == k for x in want) for k in pii.KINDS]
+
+
+def test_capitals_and_long_local_parts():
+    field = pii.fit()
+    added = lambda t: [(k, t[s:e]) for k, s, e in pii.all_spans(field, t)[1]]
+    assert added("write to Ther.Lo [AT] Esmi [DOT] com today") == [("email", "Ther.Lo [AT] Esmi [DOT] com")]
+    long = "therlomi.eskation.urtherka.mianlo"
+    assert added(f"write to {long} [at] esmi [dot] com today") == [("email", f"{long} [at] esmi [dot] com")]
+    for t in (f"x {long} at esmi.com y", f"{'an ' * 40}{long} (AT) esmi (DOT) org{' an' * 40}"):
+        whole = {t[a:b] for lo, hi in pii.stretches(t) for toks, cands in [pii.candidates(t, lo, hi)] for i, j, _ in cands for a, b in [(toks[i][0], toks[j - 1][1])]}
+        tokens, cands = pii.candidates(t, 0, len(t))
+        assert cands and {t[tokens[i][0] : tokens[j - 1][1]] for i, j, _ in cands} == whole
