@@ -1,10 +1,14 @@
 """What the operators of this package share: sessions, tables, columns, checkpoints."""
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,8 +57,56 @@ def pieces(n: int, each: int, least: int = 1) -> int:
     return max(least, -(-n // each))
 
 
+#: Of text in a slice that a worker holds at once, unless a single text is longer.
+CHUNK_BYTES = 4 << 20
+
+
 def lean(spark: SparkSession, rows: int = 1024) -> None:
-    """Arrow batches of at most so many rows: long texts would make the usual ones large."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > rows:
-        spark.conf.set(name, str(rows))
+    """Arrow batches of at most so many rows and bytes, in this session: long texts would make the usual ones large."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", 2 * CHUNK_BYTES)):
+        now = spark.conf.get(name, None)
+        if now is not None and not 0 < int(str(now).rstrip("b")) <= most:
+            spark.conf.set(name, str(most))
+
+
+def chunks(batches: Iterator, text: int, rows: int = 1024, size: int = CHUNK_BYTES) -> Iterator:
+    """Slices of Arrow batches: at most `rows` rows whose texts (column `text`) hold about `size` bytes; a longer text is a slice of
+    its own.  At the end the worker gives memory back."""
+    import pyarrow.compute as pc
+
+    try:
+        for b in batches:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < b.num_rows:
+                fit = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right"))
+                end = min(max(fit, at + 1), at + rows, b.num_rows)
+                yield b.slice(at, end - at)
+                at = end
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Free memory that allocators hold on to; a worker lives on after its task."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]):
+    """What a worker keeps of one operator from task to task (a vocabulary, a cache); the next operator's takes its place."""
+    if name not in _kept:
+        _kept.clear()
+        gc.collect()
+        _kept[name] = make()
+        give_back()
+    return _kept[name]

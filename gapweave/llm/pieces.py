@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 
@@ -46,8 +47,7 @@ class Pieces:
     def matches(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Word, start, end and piece of every match; by word, end, and start.  No piece holds a line feed."""
         joined = "\n".join(words)
-        found = [x for end, piece in self.automaton.iter(joined) for x in (end, piece)]
-        flat = np.fromiter(found, np.int64, len(found)).reshape(-1, 2)
+        flat = np.fromiter(chain.from_iterable(self.automaton.iter(joined)), np.int64).reshape(-1, 2)
         ends, piece = flat[:, 0] + 1, flat[:, 1]
         begins = np.zeros(len(words), np.int64)
         np.cumsum([len(w) + 1 for w in words[:-1]], out=begins[1:])
@@ -61,7 +61,7 @@ class Pieces:
         return [(i, k, c) for i, w in enumerate(words) if not singles.issuperset(w) for k, c in enumerate(w) if c not in singles]
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def vocabulary(path: str) -> Pieces:
     return Pieces(path)
 
