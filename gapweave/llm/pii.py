@@ -1,11 +1,11 @@
 """Personal data: exact patterns, and spans that a semi-Markov conditional random field adds.
 
 The base patterns are matched leftmost and without overlap within a kind, in time linear in the text; matches that fail
-their check are dropped and not tried again.  The field works on stretches of MOST_TOKENS tokens on either side of digits and signs
-of an address, in capitals or not, so every span that it has features for lies whole in one.
+their check are dropped and not tried again.  The field works on stretches: runs of number characters, and MOST_TOKENS tokens on either
+side of an address's at sign, in capitals or not, so every span that it has features for lies whole in one.
 It scores whole candidate spans of at most MOST_TOKENS tokens by features of the span (digits, groups, separators,
 checksums, its neighbours) and one dynamic program picks the best set of boundaries and kinds; base spans
-are fixed and added ones never overlap them.  Its weights are fitted by gradient ascent on the conditional likelihood
+are fixed and added ones never overlap them; of equal scores the one that leaves a token outside comes first, then the span that starts first.  Its weights are fitted by gradient ascent on the conditional likelihood
 of generated stretches in which spans and look-alikes are known (seeded; no table is read).
 
 Null text counts as empty, which has no spans; offsets are code points, ends exclusive; repeated rows give repeated rows; an
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import chunks, documents
 
 KINDS = ("email", "ip", "card", "phone")
 MOST_TOKENS = 16
@@ -35,7 +36,6 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-TRIGGER = re.compile(r"[0-9@]|\bdot\b|[\[({<] ?at ?[\])}>]|(?<=\w) at (?=\w)", re.I)
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]|_|\d")
 
 
@@ -86,6 +86,11 @@ AT = re.compile(r"@|[\[({<] ?at ?[\])}>]|(?<=\w) at (?=\w)", re.I)
 DOT = re.compile(r"\.|[\[({<] ?dot ?[\])}>]|(?<=\w) dot (?=\w)", re.I)
 ADDRESS = re.compile(r"[^\W_][\w.+ \[\](){}<>@-]*[^\W_]$")
 NUMBER = re.compile(r"[+(]?[0-9][0-9 ().\-/]*[0-9]$")
+#: The same in a form that is quick to rule out; what can't stand in an address; characters of numbers, the fewest that a candidate has.
+AT_WORD = re.compile(r"[aA][tT][ \])}>]")
+NO_ADDRESS = re.compile(r"[^\w.+ \[\](){}<>@-]")
+RUN = re.compile(r"[0-9][0-9 ().\-/]{6,}")
+GROUP = re.compile(r"[0-9]+")
 CUES = {"email": {"mail", "email", "contact", "write"}, "ip": {"ip", "host", "server", "address"}, "card": {"card", "visa", "pay", "credit"}, "phone": {"call", "phone", "tel", "mobile", "fax"}}
 FEATURES = 20
 
@@ -93,30 +98,40 @@ FEATURES = 20
 def candidates(text: str, lo: int, hi: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, str]]]:
     """Tokens of the stretch, and (first, last + 1, kind) of the spans that some feature can favour."""
     tokens = [m.span() for m in TOKEN.finditer(text, lo, hi)]
+    ats = [m.span() for m in AT.finditer(text, lo, hi)]
+    at_starts = [a for a, _ in ats]
     out = []
     for i, (s, _) in enumerate(tokens):
-        if s and text[s - 1].isalnum() and text[s].isalnum():
+        first = text[s]
+        if not (first.isalnum() or first in "+(") or s and text[s - 1].isalnum() and first.isalnum():
             continue
-        if not (text[s].isalnum() or text[s] in "+("):
-            continue
-        for j in range(i + 1, min(i + MOST_TOKENS, len(tokens)) + 1):
+        most = min(i + MOST_TOKENS, len(tokens))
+        k = bisect.bisect_right(at_starts, s)
+        at_end = ats[k][1] if k < len(ats) else hi + 1  # of the first sign that can lie in an address from here
+        number = first in "+(" or first in "0123456789"
+        address = at_end <= tokens[most - 1][1] and first not in "+("
+        for j in range(i + 1, most + 1 if number or address else 0):
             e = tokens[j - 1][1]
             if not text[e - 1].isalnum() or e < len(text) and text[e].isalnum():
                 continue
             span = text[s:e]
             if "\n" in span:
                 break
-            if NUMBER.match(span):
-                n = len(_digits(span))
-                if n > 19:
-                    break
-                if 7 <= n <= 15:
-                    out.append((i, j, "phone"))
-                if n >= 13:
-                    out.append((i, j, "card"))
-                if 4 <= n <= 12 and len(re.findall("[0-9]+", span)) == 4:
-                    out.append((i, j, "ip"))
-            elif ADDRESS.match(span) and AT.search(span) and DOT.search(span, AT.search(span).end()):
+            if number:
+                if NUMBER.match(span):
+                    n = len(_digits(span))
+                    if n > 19:
+                        break
+                    if 7 <= n <= 15:
+                        out.append((i, j, "phone"))
+                    if n >= 13:
+                        out.append((i, j, "card"))
+                    if 4 <= n <= 12 and len(re.findall("[0-9]+", span)) == 4:
+                        out.append((i, j, "ip"))
+                    continue
+                if not address and text[e - 1] not in "0123456789":
+                    break  # no longer span is a number
+            if address and at_end <= e and ADDRESS.match(span) and DOT.search(span, at_end - s):
                 out.append((i, j, "email"))
     return tokens, out
 
@@ -173,8 +188,12 @@ class Field:
         self.w = weights
 
     def spans(self, text: str, lo: int, hi: int, fixed: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+        """fixed: disjoint spans in order, which no other may overlap."""
         tokens, cands = candidates(text, lo, hi)
-        cands = [c for c in cands if not any(tokens[c[0]][0] < b and a < tokens[c[1] - 1][1] for a, b in fixed)]
+        if fixed:
+            ends = [b for _, b in fixed]
+            free = lambda a, b: (k := bisect.bisect_right(ends, a)) == len(fixed) or fixed[k][0] >= b
+            cands = [c for c in cands if free(tokens[c[0]][0], tokens[c[1] - 1][1])]
         if not cands:
             return []
         n = len(tokens)
@@ -285,34 +304,62 @@ def fit(rounds: int = 30, rate: float = 0.5, decay: float = 2e-3) -> Field:
     return Field(w)
 
 
+def _left(text: str, at: int) -> int:
+    """Where the MOST_TOKENS tokens before `at` begin, or what can stand in an address does."""
+    wide = 64
+    while True:
+        lo = max(0, at - wide)
+        for m in NO_ADDRESS.finditer(text, lo, at):
+            lo = m.end()
+        tokens = [m.start() for m in TOKEN.finditer(text, lo, at)]
+        if len(tokens) > MOST_TOKENS:
+            return tokens[-MOST_TOKENS]
+        if lo == 0 or lo > at - wide:
+            return lo
+        wide *= 2
+
+
 def stretches(text: str) -> list[tuple[int, int]]:
-    tokens = [m.span() for m in TOKEN.finditer(text)]
-    starts, ends = [a for a, _ in tokens], [b for _, b in tokens]
+    """What a field can find something in, in order and apart: runs of number characters with enough digits or groups, and up to
+    MOST_TOKENS tokens on either side of an at sign, however written, that a dot follows.  Every candidate lies whole in one."""
+    found = []
+    for m in RUN.finditer(text):
+        groups = GROUP.findall(m[0])
+        if len(groups) >= 4 or sum(map(len, groups)) >= 7:
+            found.append((m.start() - (text[m.start() - 1 : m.start()] in ("+", "(")), m.end()))
+    if "@" in text or AT_WORD.search(text):
+        for m in AT.finditer(text):
+            hi = m.end()
+            for t in itertools.islice(TOKEN.finditer(text, hi), MOST_TOKENS):
+                hi = t.end()
+            stop = NO_ADDRESS.search(text, m.end(), hi)
+            hi = stop.start() if stop else hi
+            if DOT.search(text, m.end(), hi):
+                found.append((_left(text, m.start()), hi))
     out: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        # the first token that ends behind the trigger's start, the last that starts before its end
-        lo = starts[max(0, bisect.bisect_right(ends, m.start()) - MOST_TOKENS)]
-        hi = ends[min(len(ends), bisect.bisect_left(starts, m.end()) + MOST_TOKENS) - 1]
+    for lo, hi in sorted(found):
         if out and lo <= out[-1][1]:
-            out[-1][1] = hi
+            out[-1][1] = max(out[-1][1], hi)
         else:
             out.append([lo, hi])
     return [(a, b) for a, b in out]
 
 
 def all_spans(field: Field, text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """Base spans and added ones."""
-    if not text or not TRIGGER.search(text):
+    """Base spans and added ones, in time linear in the text (but for the order of few spans)."""
+    if not text:
         return [], []
     base = base_spans(text)
-    fixed = sorted((s, e) for _, s, e in base)
+    fixed: list[tuple[int, int]] = []  # disjoint
+    for s, e in sorted((s, e) for _, s, e in base):
+        if fixed and s < fixed[-1][1]:
+            fixed[-1] = (fixed[-1][0], max(e, fixed[-1][1]))
+        else:
+            fixed.append((s, e))
+    starts, ends = [s for s, _ in fixed], [e for _, e in fixed]
     added = []
-    k = 0
     for lo, hi in stretches(text):
-        while k < len(fixed) and max(e for _, e in fixed[k : k + 1]) <= lo:
-            k += 1
-        near = [f for f in fixed[max(0, k - 4) :] if f[0] < hi and f[1] > lo] if len(fixed) < 64 else [f for f in fixed if f[0] < hi and f[1] > lo]
-        added += field.spans(text, lo, hi, near)
+        added += field.spans(text, lo, hi, fixed[bisect.bisect_right(ends, lo) : bisect.bisect_left(starts, hi)])
     return base, added
 
 
@@ -326,15 +373,13 @@ def find(df: DataFrame, field: Field | None = None, key: str = "doc_id", text: s
         import pyarrow as pa
 
         item = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
-        for b in batches:
-            for at in range(0, b.num_rows, ROWS):
-                part = b.slice(at, ROWS)
-                out = []
-                for t in part.column(1).to_pylist():
-                    base, added = all_spans(sent.value, t)
-                    both = [(KINDS.index(k), s, e, True) for k, s, e in base] + [(KINDS.index(k), s, e, False) for k, s, e in added]
-                    out.append([{"kind": KINDS[k], "start": s, "end": e, "base": x} for k, s, e, x in sorted(both)])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, item)], names=["key", "spans"])
+        for part in chunks(batches, 1, ROWS):
+            out = []
+            for t in part.column(1).to_pylist():
+                base, added = all_spans(sent.value, t)
+                both = [(KINDS.index(k), s, e, True) for k, s, e in base] + [(KINDS.index(k), s, e, False) for k, s, e in added]
+                out.append([{"kind": KINDS[k], "start": s, "end": e, "base": x} for k, s, e, x in sorted(both)])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, item)], names=["key", "spans"])
 
     return rows.mapInArrow(go, f"key {rows.schema['key'].dataType.simpleString()}, spans {kind_type}").withColumnRenamed("key", key)
 
@@ -361,10 +406,8 @@ def redact(df: DataFrame, field: Field | None = None, text: str = "text") -> Dat
     def go(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
-            for i in range(0, b.num_rows, ROWS):
-                part = b.slice(i, ROWS)
-                yield pa.RecordBatch.from_arrays([pa.array([one(t) for t in c.to_pylist()], c.type) if k == at else c for k, c in enumerate(part.columns)], schema=part.schema)
+        for part in chunks(batches, at, ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array([one(t) for t in c.to_pylist()], c.type) if k == at else c for k, c in enumerate(part.columns)], schema=part.schema)
 
     out = df.mapInArrow(go, df.schema)
     return out.withColumn("n_chars", F.length(text).cast(df.schema["n_chars"].dataType)) if "n_chars" in df.columns else out
