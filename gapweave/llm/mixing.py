@@ -4,8 +4,8 @@ Each source gets a target number of words.  All its documents are taken floor(ta
 times; the rest is filled by documents whose hash lies under a threshold.  Thresholds come from
 histograms: words are summed by source and hash bucket, the bucket in which the budget ends is found,
 and only that bucket is split further, until it holds one document.  What is then still missing is filled
-the same way by documents no larger than the gap (nested budgets), so documents stay whole and the
-words taken miss the target by little.  Rows are filtered by threshold; they are never sorted.
+the same way by documents no larger than the gap (nested budgets), until less than CLOSE of the target is missing or
+nothing left out fits, so documents stay whole and the words taken miss the target by little.  Rows are filtered by threshold; they are never sorted.
 
 Hashes are of doc_id and text: reruns agree whatever the partitions, and equal rows are taken alike.
 Null text and empty text have size 0; null is a source of its own, after the others; an empty table
@@ -23,7 +23,8 @@ from .common import WORD, documents, materialised
 WEIGHTS = (5, 2, 1)
 MOST = 3
 BITS, LEVELS = 12, 5
-PASSES = 6
+#: A source is filled once it misses its target by less than this share, or no document left out is small enough.
+CLOSE = 1 / 1000
 #: Sources are a dimension of the mix: their totals, not their documents, come to the driver.
 MOST_SOURCES = 100_000
 
@@ -95,7 +96,7 @@ def _threshold(rows: DataFrame, budgets: dict[str, int], caps: dict[str, int], t
     return done
 
 
-def plan(rows: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
+def plan(rows: DataFrame, weights=WEIGHTS, most: int = MOST, close: float = CLOSE) -> DataFrame:
     """rows: key, source, u, size.  A row for each source: totals, target, whole copies, thresholds."""
     totals = rows.groupBy("key", "source").agg(F.sum("size").alias("words")).limit(MOST_SOURCES + 1).collect()
     if len(totals) > MOST_SOURCES:
@@ -106,14 +107,13 @@ def plan(rows: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     copies = {k: int(goal[k] / size[k]) if size[k] else 0 for k in size}
     gap = {k: int(goal[k] - copies[k] * size[k]) for k in size}
     taken: dict[str, list] = {k: [] for k in size}
-    for n in range(PASSES):
-        want = {k: g for k, g in gap.items() if g > 0}
-        if not want:
-            break
+    n = 0
+    while want := {k: g for k, g in gap.items() if g > close * goal[k]}:
         caps = {k: g if n else 1 << 62 for k, g in want.items()}
         for k, (bound, left) in _threshold(rows, want, caps, taken).items():
             taken[k].append((caps[k], bound))
             gap[k] = left if left < want[k] or not n else 0  # nothing fits any more
+        n += 1
     return rows.sparkSession.createDataFrame(
         [(k, size[k], float(goal[k]), copies[k], taken[k]) for k in size],
         "key string, source_size long, target double, whole int, thresholds array<struct<cap: long, bound: long>>",
