@@ -19,7 +19,6 @@ columns are ignored.
 """
 from __future__ import annotations
 
-import functools
 import json
 import re
 from collections.abc import Iterator
@@ -28,11 +27,14 @@ from itertools import chain
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import chunks, documents, kept
+
 LEAF_CHARS = 4096
 LEAF_BYTES = 256
 SPREAD_CHARS = 1 << 20
 #: A worker's cache of units starts anew at this size; it bounds memory, not results.
 CACHE_UNITS = 150_000
+KEEP_CHARS = 64
 ROWS = 512
 
 #: Ranges in which every Unicode version since 9 agrees on letters, digits and spaces; other text is
@@ -71,17 +73,17 @@ class ByteBPE:
             raise ValueError(f"{path}: merges aren't in the order of their ids, or the model has other rules")
         ranks = {self.bytes_of[i]: i for i in text_of if i not in self.special.values()}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        self.leaf = tiktoken.Encoding("leaf", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        self.leaf = tiktoken.Encoding("leaf", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.pattern = regex.compile(pattern)
         self.own_split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         self.at_special = re.compile("|".join(f"({re.escape(t)})" for t in self.special) or r"(?!)")
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, list[int]] = {}
 
     # -- splitting -----------------------------------------------------------------------------
 
     def units_of_leaf(self, text: str) -> list[str]:
         """Units whose encodings are independent: words with the space before them, or the pattern's matches."""
-        if STEADY.search(text):
+        if not text.isascii() and STEADY.search(text):
             return [text[a:b] for _, (a, b) in self.own_split(text)]
         if ODD_SPACE.search(text):
             return self.pattern.findall(text)
@@ -123,39 +125,45 @@ class ByteBPE:
         return self.join_tokens(self.tokens(data[:half]), self.tokens(data[half:]))
 
     def tokens_of_unit(self, unit: str) -> list[int]:
-        parts = [unit] if STEADY.search(unit) else self.pattern.findall(unit)
-        return list(chain.from_iterable(self.tokens(p.encode("utf-8", "replace")) for p in parts))
+        word = unit[1:] if unit[:1] == " " else unit
+        if word.isalpha() or not unit.isascii() and STEADY.search(unit):  # letters alone are one match; other scripts are split already
+            return self.tokens(unit.encode("utf-8", "replace"))
+        parts = self.pattern.findall(unit)
+        return self.tokens(unit.encode()) if len(parts) == 1 else list(chain.from_iterable(self.tokens(p.encode("utf-8", "replace")) for p in parts))
+
+    def learn(self, units: set[str]) -> None:
+        """Encode what the cache lacks; of what it holds, it keeps only units met again once it is full."""
+        cache = self.cache
+        new = units.difference(cache)
+        if len(cache) + len(new) > CACHE_UNITS:
+            cache = self.cache = {u: cache[u] for u in units if u in cache}
+        of = self.tokens_of_unit
+        cache.update({u: of(u) for u in new if len(u) <= KEEP_CHARS})
 
     def tokens_of_units(self, units: list[str]) -> list[int]:
-        cache = self.cache
-        if len(cache) > CACHE_UNITS:
-            cache.clear()
-        for u in set(units).difference(cache):
-            if len(u) > 64:  # too long to keep
-                return [t for x in units for t in (cache.get(x) or self.tokens_of_unit(x))]
-            cache[u] = tuple(self.tokens_of_unit(u))
-        return list(chain.from_iterable([cache[u] for u in units]))
+        try:
+            return list(chain.from_iterable(map(self.cache.__getitem__, units)))
+        except KeyError:
+            self.learn(set(units))
+        cache, of = self.cache, self.tokens_of_unit
+        return list(chain.from_iterable([cache[u] if u in cache else of(u) for u in units]))
 
     def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        if not self.at_special.search(text):
-            return self.tokens_of_units(self.units(text))
-        out: list[int] = []
-        for part in self.at_special.split(text):
-            if part in self.special:
-                out.append(self.special[part])
-            elif part:
-                out += self.tokens_of_units(self.units(part))
-        return out
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[list[int]]:
+        """Of each text; the units of all are encoded once."""
+        cut = [[p for p in (self.at_special.split(t) if self.at_special.search(t) else [t]) if p] if t else [] for t in texts]
+        units = [[[p] if p in self.special else self.units(p) for p in parts] for parts in cut]
+        self.learn({u for parts in units for us in parts for u in us})
+        return [list(chain.from_iterable([self.special[p]] if p in self.special else self.tokens_of_units(us) for p, us in zip(parts, each, strict=True))) for parts, each in zip(cut, units, strict=True)]
 
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@functools.lru_cache(maxsize=2)
 def codec(path: str) -> ByteBPE:
-    return ByteBPE(path)
+    return kept(f"bpe-{path}", lambda: ByteBPE(path))
 
 
 def _arrow(key_type, keys: list, ids: list[list[int]], texts: list[str] | None):
@@ -176,11 +184,9 @@ def encode_decode(df: DataFrame, path: str, key: str = "doc_id", text: str = "te
 
     def whole(batches: Iterator) -> Iterator:
         bpe = codec(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                ids = [bpe.encode(t) for t in part.column(1).to_pylist()]
-                yield _arrow(part.schema.field(0).type, part.column(0), ids, [bpe.decode(x) for x in ids])
+        for part in chunks(batches, 1, ROWS):
+            ids = bpe.encode_all(part.column(1).to_pylist())
+            yield _arrow(part.schema.field(0).type, part.column(0), ids, [bpe.decode(x) for x in ids])
 
     short = rows.filter(F.length("text") <= spread_chars).mapInArrow(whole, schema)
     long = _spread(rows.filter(F.length("text") > spread_chars), path, schema, spread_chars // 8 or 1)
@@ -243,8 +249,6 @@ def default_path() -> str:
 
 
 def op2_bpe(spark, sf_dir: str) -> DataFrame:
-    from .common import documents
-
     return digests(encode_decode(documents(spark, sf_dir), default_path()))
 
 
