@@ -6,8 +6,6 @@ from pyspark.sql import functions as F
 
 from .common import materialised
 
-MOST_ROUNDS = 60
-
 
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b long.  node, root long for every node on an edge: root is the smallest node of its component.
@@ -18,7 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = materialised(edges.select("a", "b").filter("a <> b").distinct(), "cc")
     before = None
-    for _ in range(MOST_ROUNDS):
+    while True:
         both = now.select("a", "b").union(now.select(F.col("b"), F.col("a")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
@@ -30,6 +28,4 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(state) == before:
             break
         before = tuple(state)
-    else:
-        raise RuntimeError("components didn't settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b"), F.col("b")).distinct())

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, lean, materialised, pieces
+from .common import WORD, chunks, documents, kept, lean, materialised, pieces
 from .components import components
 
 WORDS, PERCENT = 3, 90
@@ -105,11 +105,8 @@ class Shingler:
         return out
 
 
-_shinglers: dict[int, Shingler] = {}
-
-
 def shingler(words: int) -> Shingler:
-    return _shinglers.setdefault(words, Shingler(words))
+    return kept(f"shingles-{words}", lambda: Shingler(words))
 
 
 def _prefix(s: np.ndarray, heavy: np.ndarray, percent: int) -> np.ndarray:
@@ -139,10 +136,9 @@ def _tokens(docs: DataFrame, words: int, percent: int) -> DataFrame:
         import pyarrow as pa
 
         none = np.zeros(0, np.int64)
-        for b in batches:
-            for at in range(0, b.num_rows, ROWS):
-                sets = shingler(words).sets(b.slice(at, ROWS).column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([_prefix(s, none, percent) for s in sets] or [none]))], names=["token"])
+        for part in chunks(batches, 0, ROWS):
+            sets = shingler(words).sets(part.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([_prefix(s, none, percent) for s in sets] or [none]))], names=["token"])
 
     return docs.select("text").mapInArrow(go, "token long")
 
@@ -154,22 +150,20 @@ def _signatures(docs: DataFrame, heavy: np.ndarray, words: int, percent: int) ->
     def go(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
-            for at in range(0, b.num_rows, ROWS):
-                part = b.slice(at, ROWS)
-                sets = shingler(words).sets(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        part.column(2),
-                        pa.array([_set_id(s) for s in sets], pa.int64()),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([_prefix(s, sent.value, percent) for s in sets], pa.list_(pa.int64())),
-                        pa.array([_parity(s) for s in sets], pa.list_(pa.int64())),
-                        pa.array([_parity(s, BIG) if len(s) >= BIG_FROM else None for s in sets], pa.list_(pa.int64())),
-                    ],
-                    names=["doc_id", "t", "c", "n", "prefix", "sig", "big"],
-                )
+        for part in chunks(batches, 1, ROWS):
+            sets = shingler(words).sets(part.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0),
+                    part.column(2),
+                    pa.array([_set_id(s) for s in sets], pa.int64()),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([_prefix(s, sent.value, percent) for s in sets], pa.list_(pa.int64())),
+                    pa.array([_parity(s) for s in sets], pa.list_(pa.int64())),
+                    pa.array([_parity(s, BIG) if len(s) >= BIG_FROM else None for s in sets], pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "t", "c", "n", "prefix", "sig", "big"],
+            )
 
     return docs.mapInArrow(go, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t long, c long, n long, prefix array<long>, sig array<long>, big array<long>")
 
@@ -206,19 +200,18 @@ def _small_edges(docs: DataFrame, wanted: DataFrame, most: int, words: int, perc
         import pyarrow as pa
         import xxhash
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                c_out, key_out, low_out = [], [], []
-                for s in shingler(words).sets(batch.slice(at, ROWS).column(0).to_pylist()):
-                    c = _set_id(s)
-                    for t in partners(len(s), percent) if len(s) <= most else ():
-                        if 0 < t <= most:
-                            lo, hi = min(t, len(s)), max(t, len(s))
-                            for sub in combinations(s, needed(lo, hi, percent)):
-                                key_out.append(xxhash.xxh3_64_intdigest(np.array(sub, np.int64).tobytes(), lo * 64 + hi) - 2**63)
-                                c_out.append(c)
-                                low_out.append(c if len(s) == lo else None)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key_out, c_out, low_out)], names=["key", "c", "low"])
+        for part in chunks(batches, 0, ROWS):
+            c_out, key_out, low_out = [], [], []
+            for s in shingler(words).sets(part.column(0).to_pylist()):
+                c = _set_id(s)
+                for t in partners(len(s), percent) if len(s) <= most else ():
+                    if 0 < t <= most:
+                        lo, hi = min(t, len(s)), max(t, len(s))
+                        for sub in combinations(s, needed(lo, hi, percent)):
+                            key_out.append(xxhash.xxh3_64_intdigest(np.array(sub, np.int64).tobytes(), lo * 64 + hi) - 2**63)
+                            c_out.append(c)
+                            low_out.append(c if len(s) == lo else None)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key_out, c_out, low_out)], names=["key", "c", "low"])
 
     keyed = _texts_of(docs, wanted).mapInArrow(go, "key long, c long, low long")
     # All of a key link with one of the lower size, if there is any.
@@ -336,10 +329,9 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     def go(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
-            for at in range(0, b.num_rows, ROWS):
-                sets = shingler(words).sets(b.slice(at, ROWS).column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["c", "set"])
+        for part in chunks(batches, 0, ROWS):
+            sets = shingler(words).sets(part.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["c", "set"])
 
     return _texts_of(docs, wanted).mapInArrow(go, "c long, set array<long>")
 

@@ -23,7 +23,8 @@ from .common import WORD, documents, pieces
 from .jaccard import _mix
 
 ORDER, MIN_COUNT, BACKOFF = 3, 2, 0.4
-BLOCK_DOCS, BUCKET_DOCS = 3072, 2048
+#: A block holds about so many documents, or so many words if texts are long; a bucket so many documents' n-grams.
+BLOCK_DOCS, BLOCK_WORDS, BUCKET_DOCS = 3072, 2_000_000, 2048
 MESSAGE = "n int, bucket int, block int, grams binary, counts binary"
 
 
@@ -171,7 +172,7 @@ def backoff_scores(df: DataFrame, key: str = "doc_id", text: str = "text", order
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     sizes = rows.agg(F.count("*"), F.sum(F.regexp_count("text", F.lit(WORD)))).first()
     n, words = sizes[0], sizes[1] or 0
-    blocks, buckets = pieces(n, BLOCK_DOCS), pieces(n, BUCKET_DOCS)
+    blocks, buckets = max(pieces(n, BLOCK_DOCS), pieces(words, BLOCK_WORDS)), pieces(n, BUCKET_DOCS)
     # one shuffle of texts, which every order and the score read again
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("key", "text"), F.lit(blocks)).cast("int")).repartition("block")
     reply = "n int, bucket int, block int, counts binary"

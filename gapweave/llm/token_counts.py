@@ -7,6 +7,9 @@ library's Unigram model: a later candidate must score strictly more, and candida
 piece wins a tie.  A character without a piece costs the lowest score less a penalty; as bytes, it counts once
 for each byte.
 
+The vocabulary file is a BPE model's; its pieces' scores, minus their ranks as merges, stand in for unigram log-probabilities, so
+counts are those of the library's Unigram model with these scores, not of the file's own BPE.
+
 Null text has 0 tokens, as has empty text; repeated rows give repeated rows; an empty table gives none; other columns
 are ignored.
 """
@@ -18,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import chunks, documents, kept
 from .pieces import MARK, SIDE_BY_SIDE, Pieces, by_end, default_path, vocabulary
 
 CACHE_WORDS = 200_000
@@ -109,15 +112,6 @@ class Counter:
         return out
 
 
-_counters: dict[str, Counter] = {}
-
-
-def counter(path: str) -> Counter:
-    if path not in _counters:
-        _counters[path] = Counter(path)
-    return _counters[path]
-
-
 def token_counts(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and n_tokens long for each row."""
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -125,11 +119,9 @@ def token_counts(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        own = counter(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.counts(part.column(1).to_pylist()), pa.int64())], names=["key", "n_tokens"])
+        own = kept(f"counts-{path}", lambda: Counter(path))
+        for part in chunks(batches, 1, ROWS):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.counts(part.column(1).to_pylist()), pa.int64())], names=["key", "n_tokens"])
 
     return rows.mapInArrow(count, f"key {rows.schema['key'].dataType.simpleString()}, n_tokens long").withColumnRenamed("key", key)
 

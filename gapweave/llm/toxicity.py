@@ -11,6 +11,7 @@ Training: at most SAMPLE_TOXIC and SAMPLE_CLEAN labelled texts, those of smalles
 fitting; every text is scored whole).  A toxic text's loss is on its best windows so far, a clean one's on its worst, so the label of
 a text is learned without knowing where the toxic words are.  Seeded; reruns on equal rows agree.
 
+A document that is labelled both ways counts as an example of each; texts at THRESHOLD itself are toxic.
 Null text and empty text score as a text without words does: 0.  If no toxic (or no clean) label is there, all texts score 0 (or
 the share of toxic labels).  Repeated rows give repeated rows; an empty table gives none; other columns are ignored by score() and
 kept by keep_clean().
@@ -23,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, table
+from .common import chunks, documents, table
 
 WINDOW, STRIDE = 24, 12
 WORD_CHARS, PIECE_CHARS = 64, 16
@@ -228,6 +229,7 @@ def _laid_out(texts: list[str | None]):
 
 
 def window_scores(net: Network, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Logit and text of each window; a slice's text and some fifty times that is held, so callers slice by bytes."""
     words, flat, place, mask, owner = _laid_out(texts)
     if not len(owner):
         return np.zeros(0, F32), owner
@@ -313,10 +315,8 @@ def score(df: DataFrame, net: Network, key: str = "doc_id", text: str = "text")
     def go(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
-            for at in range(0, b.num_rows, ROWS):
-                part = b.slice(at, ROWS)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores(sent.value, part.column(1).to_pylist()), pa.float64())], names=["key", "score"])
+        for part in chunks(batches, 1, ROWS):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores(sent.value, part.column(1).to_pylist()), pa.float64())], names=["key", "score"])
 
     return rows.mapInArrow(go, f"key {rows.schema['key'].dataType.simpleString()}, score double").withColumnRenamed("key", key)
 
@@ -329,10 +329,8 @@ def keep_clean(df: DataFrame, net: Network, text: str = "text") -> DataFrame:
     def go(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
-            for i in range(0, b.num_rows, ROWS):
-                part = b.slice(i, ROWS)
-                yield part.filter(pa.array(scores(sent.value, part.column(at).to_pylist()) < THRESHOLD))
+        for part in chunks(batches, at, ROWS):
+            yield part.filter(pa.array(scores(sent.value, part.column(at).to_pylist()) < THRESHOLD))
 
     return df.mapInArrow(go, df.schema)
 
