@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 from pyspark.sql import functions as F
 
@@ -65,3 +66,65 @@ def test_long_texts_keep_all_anchors(spark):
     assert len(same[0]) > 1500 and same[2] == 1.0 and none[2] == 0.0
     assert changed[0] != changed[1] and 0.97 < changed[2] < 1.0
     assert 0.95 < inserted[2] < 1.0
+
+
+def plain_likeness(a, b):
+    """Two lists of packed anchors, compared pair by pair."""
+    if not a and not b:
+        return 1.0
+    split = lambda xs: {x >> 25: x & ((1 << 24) - 1) for x in xs}
+    x, y = split(a), split(b)
+    moves = [d for _, d in sorted((x[h], y[h] - x[h]) for h in x if h in y)]
+    if not moves:
+        return 0.0
+    mid = sorted(moves)[len(moves) // 2]
+    hits = sum(abs(d - mid) <= 16 or i > 0 and abs(d - moves[i - 1]) <= 16 or i + 1 < len(moves) and abs(d - moves[i + 1]) <= 16 for i, d in enumerate(moves))
+    return 2 * hits / (len(x) + len(y))
+
+
+def test_query_by_brute_force(spark):
+    """Fingerprints and likenesses of a whole table, anchor by anchor."""
+    sf = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
+    got = {r.doc_id: r for r in syncmers.op10_syncmers(spark, sf).collect()}
+    edited = {i: t[: len(t) - len(t) // 4] + after[: len(t) // 4] for (i, t), (_, after) in zip(docs, docs[1:] + docs[:1], strict=True)}
+    words = {w for t in [t for _, t in docs] + list(edited.values()) for w in re.findall(r"[^\x20\x09-\x0D]{1,16}", t)}
+    code = {r.w: r.h for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    texts = sorted({t for _, t in docs} | set(edited.values()))
+    hashed = [[code[w] for w in re.findall(r"[^\x20\x09-\x0D]{1,16}", t)] for t in texts]
+    pairs = {p for h in hashed for p in zip(h, h[1:], strict=False)}
+    two = {(r.a, r.b): r.h for r in spark.createDataFrame(list(pairs), "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("h")).collect()}
+    grams = [[two[p] for p in zip(h, h[1:], strict=False)] for h in hashed]
+    closed = [[(g[i], g[i + 2], g[i + 3]) for i in range(len(g) - 3) if min(g[i], g[i + 3]) <= min(g[i + 1], g[i + 2])] for g in grams]
+    three = {(r.a, r.b, r.c): r.h for r in spark.createDataFrame(list({k for c in closed for k in c}), "a long, b long, c long").select("a", "b", "c", F.xxhash64("a", "b", "c").alias("h")).collect()}
+    prints = {}
+    for t, h, g in zip(texts, hashed, grams, strict=True):
+        if len(h) >= 5:
+            first = {}
+            for i in range(len(g) - 3):
+                if min(g[i], g[i + 3]) <= min(g[i + 1], g[i + 2]):
+                    first.setdefault(three[g[i], g[i + 2], g[i + 3]] >> 25, i)
+            prints[t] = sorted((k << 25) + i for k, i in first.items())
+    after = dict(zip([i for i, _ in docs], [t for _, t in docs[1:] + docs[:1]], strict=True))
+    checked = 0
+    for i, t in docs:
+        if t in prints and edited[i] in prints and after[i] in prints:
+            r = got[i]
+            assert r.fingerprint == ",".join(map(str, prints[t])) and r.edited_fingerprint == ",".join(map(str, prints[edited[i]]))
+            assert abs(r.near_edited - plain_likeness(prints[t], prints[edited[i]])) < 1e-12
+            assert abs(r.near_next - plain_likeness(prints[t], prints[after[i]])) < 1e-12
+            checked += 1
+    assert checked > 150
+
+
+def test_hot_id_is_split(spark):
+    """An id that holds most rows is dealt to several ranges, in the order of text hashes, and no neighbour is lost."""
+    rows = [(7 if i % 3 else i, f"text {i} of many words here") for i in range(900)] + [(None, f"none {i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    order = [r.text for r in df.select("text", F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), F.xxhash64("text").alias("h")).orderBy("k", "h").collect()]
+    old, syncmers.RANGE_ROWS = syncmers.RANGE_ROWS, 50
+    try:
+        got = {r.text: (r.next_text, r.b) for r in syncmers.edited_with_next(df.repartition(4)).withColumn("b", F.spark_partition_id()).collect()}
+    finally:
+        syncmers.RANGE_ROWS = old
+    assert {t: n for t, (n, _) in got.items()} == dict(zip(order, order[1:] + order[:1], strict=True))
