@@ -8,12 +8,21 @@ Empty text: one empty Module list.  Text that doesn't balance, or a carriage ret
 from __future__ import annotations
 
 import re
+import sys
+import threading
 from bisect import bisect_right
+from collections.abc import Callable
+
+from .width import COLUMNS, TAB, measure
 
 EXTENSIONS = ("ts", "tsx", "mts", "cts", "js", "jsx", "mjs", "cjs")
 NO_JSX = ("ts", "mts", "cts")
-DEEPEST = 150
-COLUMNS = 80
+#: Levels of nesting beyond which a file counts as unreadable; the time for names read grows with levels times tokens.
+DEEPEST = 1500
+#: White space of the language; words that make a comment a linter's directive; what marks a clause that falls through.
+JS_SPACE = "\t\n\v\f\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+LINT_WORDS = ("eslint-disable-next-line", "eslint-disable-line", "eslint-disable", "eslint-enable", "eslint-env", "eslint", "exported", "global", "globals")
+FALLS = ("falls through", "fall through", "fallsthrough", "fallthrough")
 KEYWORDS = set(
     "if else for while do switch case default try catch finally return throw break continue const let var function class new typeof instanceof in of void delete await yield this super null true false import export extends async static debugger with as satisfies".split()
 )
@@ -172,11 +181,31 @@ class Tokens:
         return out
 
 
-class Source:
-    def __init__(self, text: str, jsx: bool, marker: str, columns: int):
+class Places:
+    """Lines and columns of offsets."""
+
+    def __init__(self, text: str):
+        self.src, self.starts = text, [0] + [i + 1 for i, c in enumerate(text) if c == "\n"]
+
+    def line(self, offset: int) -> int:
+        return bisect_right(self.starts, offset)
+
+    def column(self, offset: int) -> int:
+        return len(self.src[self.starts[self.line(offset) - 1] : offset].encode("utf-16-le", "surrogatepass")) // 2 + 1
+
+
+class Source(Places):
+    def __init__(self, text: str, jsx: bool, marker: str, columns: int = COLUMNS, tab: int = TAB, ruler: str = "prettier"):
         self.src, self.t, self.marker, self.columns, self.depth = text, Tokens(text, jsx), marker, columns, 0
+        self.tab, self.ruler, self.empty = tab, ruler, 0
+        #: Blocks that an if, else or loop controls: token of the brace, offsets of header and owner; inner ones first.
+        self.eligible: list[tuple[int, int, int]] = []
+        #: By offset of its brace: statements of a block, and how many there are with empty ones.
+        self.held: dict[int, tuple[list[dict], int]] = {}
+        #: Offsets of alternates and labelled statements, by owner: an ignored owner passes that on to them.
+        self.heirs: dict[int, list[int]] = {}
         self.n, self.m = len(self.t.kind), self.t.match
-        self.starts = [0] + [i + 1 for i, c in enumerate(text) if c == "\n"]
+        Places.__init__(self, text)
         self.lines = text.split("\n")
         self.c_start = [a for a, _ in self.t.comments]
         self.lists: list[dict] = []
@@ -190,12 +219,6 @@ class Source:
         """The word at token i; quoted text can't be taken for one."""
         return self.t.word[i] if 0 <= i < self.n and self.t.kind[i] in ("id", "p") else ""
 
-    def line(self, offset: int) -> int:
-        return bisect_right(self.starts, offset)
-
-    def column(self, offset: int) -> int:
-        return len(self.src[self.starts[self.line(offset) - 1] : offset].encode("utf-16-le")) // 2 + 1
-
     def breaks(self, i: int) -> bool:
         """A line ends between token i - 1 and token i."""
         return "\n" in self.src[self.t.end[i - 1] : self.t.start[i]]
@@ -209,6 +232,8 @@ class Source:
         number = len(self.lists)
         self.lists.append({})
         own = items(i, j) if items else self.sequence(i, j)
+        if brace is not None:
+            self.held[self.t.start[brace]] = (own, len(own) + self.empty)
         self.attach(own, start, limit)
         for at, s in enumerate(own):
             s |= {"list_id": number, "idx": at, "list_kind": kind}
@@ -229,16 +254,27 @@ class Source:
         return self.body(i + 1, self.m[i], "Block", i, self.t.start[i], self.t.end[self.m[i]])
 
     def sequence(self, i: int, j: int, stop: tuple[str, ...] = ()) -> list[dict]:
-        out = []
+        out, empty = [], 0
         while i < j and not (self.w(i) in stop and self.w(i + 1) != "."):
             s = self.statement(i, j)
             if s["end"] <= i:
                 raise Unreadable(f"no statement at {self.t.start[i]}")
             if self.w(i) != ";":
                 out.append(self.finished(s, i))
+            else:
+                empty += 1
             i = s["end"]
+        self.empty = empty
         return out
 
+    def control(self, brace: int, header: int, owner: int) -> None:
+        if self.w(brace) == "{":
+            self.eligible.append((brace, self.t.start[header], self.t.start[owner]))
+
+    def tail(self, body: int, s: dict):
+        """How a statement ends: with the block at an offset, or with that statement."""
+        return self.t.start[body] if self.w(body) == "{" else s
+
     def cases(self, i: int, j: int) -> list[dict]:
         out = []
         while i < j:
@@ -270,22 +306,31 @@ class Source:
             if self.w(e) == "else" and e < j:
                 other = self.statement(e + 1, j)
                 more = other.get("arms") if other["kind"] == "If" else None
-                return {"end": other["end"], "kind": "If", "arms": arms + ([(e, *more[0][1:]), *more[1:]] if more else [(e, e + 1, other)])}
+                self.control(m[i + 1] + 1, i, i)
+                self.control(e + 1, e, i)
+                self.heirs.setdefault(self.t.start[i], []).append(self.t.start[e + 1])
+                return {"end": other["end"], "kind": "If", "tag": "if", "tail": self.tail(e + 1, other), "arms": arms + ([(e, *more[0][1:]), *more[1:]] if more else [(e, e + 1, other)])}
             held = then.get("held")
             one = held is None or len(held) == 1
             jump = (held[0]["kind"] if held else then["kind"]) if one else None
-            return {"end": e, "kind": "If", "guard": one, "jump": jump if jump in JUMPS.values() else None, "arms": arms}
+            self.control(m[i + 1] + 1, i, i)
+            return {"end": e, "kind": "If", "tag": "if", "tail": "open", "guard": one, "jump": jump if jump in JUMPS.values() else None, "arms": arms}
         if w in ("for", "while") and (nxt == "(" or nxt == "await"):
             p = i + 1 if nxt == "(" else i + 2
             self.inner(p + 1, m[p])
             then = self.statement(m[p] + 1, j)
-            return {"end": then["end"], "kind": "Loop", "arms": [(i, m[p] + 1, then)]}
+            self.control(m[p] + 1, i, i)
+            return {"end": then["end"], "kind": "Loop", "tag": w, "tail": self.tail(m[p] + 1, then), "arms": [(i, m[p] + 1, then)]}
+        if w == "with" and nxt == "(":
+            then = self.statement(m[i + 1] + 1, j)
+            return {"end": then["end"], "kind": "Other", "tag": "with", "tail": self.tail(m[i + 1] + 1, then)}
         if w == "do":
             e = self.statement(i + 1, j)["end"]
+            self.control(i + 1, i, i)
             if self.w(e) == "while":
                 self.inner(e + 2, m[e + 1])
                 e = m[e + 1] + 1
-            return {"end": e + (self.w(e) == ";"), "kind": "Loop"}
+            return {"end": e + (self.w(e) == ";"), "kind": "Loop", "tag": "do"}
         if w == "switch" and nxt == "(":
             self.inner(i + 2, m[i + 1])
             b = m[i + 1] + 1
@@ -326,13 +371,15 @@ class Source:
         if w == "type" and i + 2 < j and self.t.kind[i + 1] == "id" and self.w(i + 2) in ("=", "<"):
             return {"end": self.expression_end(i, j), "kind": "Other"}
         if self.t.kind[i] == "id" and nxt == ":" and w not in KEYWORDS:
-            return {"end": self.statement(i + 2, j)["end"], "kind": "Other"}
+            then = self.statement(i + 2, j)
+            self.heirs.setdefault(self.t.start[i], []).append(self.t.start[i + 2])
+            return {"end": then["end"], "kind": "Other", "tag": "label", "tail": self.tail(i + 2, then)}
         e = self.expression_end(i, j)
         self.inner(i, e)
         names = [] if w in JUMPS else self.assigned(i, e)
         operation = self.operation(i, e, names)
         self.operations += [(i, operation)] if operation else []
-        return {"end": e, "kind": JUMPS.get(w, "Other"), "names": names, "operation": operation}
+        return {"end": e, "kind": JUMPS.get(w, "Other"), "tag": w if w in JUMPS else "debugger" if w == "debugger" else "expression", "names": names, "operation": operation}
 
     def exported(self, i: int, j: int) -> dict:
         nxt = self.w(i + 1)
@@ -566,7 +613,7 @@ class Source:
                 k = self.arrow_end(k + 2, j)
                 continue
             if kind == "jsx":
-                for name in re.findall(r"<\s*([A-Za-z_$][\w$]*(?:\.[\w$]+)*)", self.t.word[k]):
+                for name in re.findall(r"<\s*([A-Za-z_$][\w$]*(?:\.[\w$]+)*)(?![\w$:-])", self.t.word[k]):
                     base = name.split(".")[0]
                     if ("." in name or not "a" <= name[0] <= "z") and not any(a <= k < b and base in names for a, b, names in hidden):
                         marks = [x.start() for x in re.finditer(r"\.", name)] + [len(name)]
@@ -591,13 +638,46 @@ class Source:
         one = self.src[a:b] if self.line(a) == self.line(b - 1) else self.arm(*s["arms"][0]) if len(s.get("arms") or ()) == 1 else None
         return None if one is None else head.rstrip() + ("" if self.w(body) == ";" else " ") + one
 
+    def falls(self, a: int, b: int) -> bool:
+        """A comment says that a clause falls through; a linter's directive doesn't."""
+        value = self.src[a + 2 : b - 2 if self.src.startswith("/*", a) else b]
+        words = value.strip(JS_SPACE).split(maxsplit=1)
+        if words and words[0] in LINT_WORDS:
+            return False
+        folded = "".join(" " if c in JS_SPACE else "s" if c == "\u017f" else c.lower() if c.isascii() else c for c in value)
+        return any(x in folded for x in FALLS)
+
     def directive(self, a: int, b: int) -> str | None:
         lead = r"/\*[\s*]*" if self.src.startswith("/*", a) else r"//\s*"
         found = re.match(rf"{lead}{re.escape(self.marker)}-(ignore|off|on)(?![-\w$])", self.src[a:b])
         return found[1] if found else None
 
+    def ignored(self, start: int) -> bool:
+        """A comment right above, or above comments right above, says so."""
+        top = start
+        for a, b in reversed(self.t.comments[: bisect_right(self.c_start, start - 1)]):
+            between = self.src[b:top]
+            if between.strip(JS_SPACE) or between.count("\n") != 1 or self.src[self.starts[self.line(a) - 1] : a].strip(JS_SPACE):
+                return False
+            if self.directive(a, b) == "ignore":
+                return True
+            top = a
+        return False
+
+    def spare(self) -> None:
+        """Blocks whose owner is to be ignored, or that are themselves, keep their braces."""
+        if not any(self.directive(a, b) == "ignore" for a, b in self.t.comments):
+            return
+        out: set[int] = set()
+        for start in sorted({x[2] for x in self.eligible} | set(self.heirs)):
+            if start in out or self.ignored(start):
+                out.add(start)
+                out.update(self.heirs.get(start, ()))
+        self.eligible = [x for x in self.eligible if x[2] not in out and self.t.start[x[0]] not in out and not self.ignored(self.t.start[x[0]])]
+
     def freeze(self) -> None:
         """Statements between an off and its on, counted within the innermost braces, are left alone, as are lists that start there."""
+        self.spare()
         marks = [(a, d) for a, b in self.t.comments if (d := self.directive(a, b)) in ("off", "on")]
         if not marks:
             return
@@ -616,6 +696,7 @@ class Source:
                     regions.append((first, a))
         regions += [(first, home[1]) for home, (first, _) in opened.items()]
         held = lambda x: any(a <= x < b for a, b in regions)
+        self.eligible = [x for x in self.eligible if not held(self.t.start[x[0]]) and not held(self.t.end[self.m[x[0]]] - 1)]
         gone = {y["list_id"] for y in self.lists[1:] if held(y["start"])}
         self.lists = [y for y in self.lists if y["list_id"] not in gone]
         self.stmts = [s | {"frozen": s["frozen"] or held(s["start"])} for s in self.stmts if s["list_id"] not in gone]
@@ -628,12 +709,12 @@ class Source:
         if not compact and s.get("arms"):
             texts = [self.arm(*x) for x in s["arms"]]
             prefix = self.src[self.starts[self.line(a) - 1] : a]
-            indent = prefix[: len(prefix) - len(prefix.lstrip())]
-            joined = None not in texts and max(len(((indent if n else prefix) + x).expandtabs(2)) for n, x in enumerate(texts)) <= self.columns
+            indent = prefix[: len(prefix) - len(prefix.lstrip(JS_SPACE))]
+            joined = None not in texts and max(measure((indent if n else prefix) + x, self.ruler, self.tab) for n, x in enumerate(texts)) <= self.columns
         return {
             "kind": s["kind"], "start": a, "end": b, "compact": compact or joined, "multiline": not compact and not joined, "guard": bool(s.get("guard")), "jump": s.get("jump"),
             "case_body": bool(s.get("case_body")), "names": s.get("names") or [], "is_let": bool(s.get("is_let")), "reads": self.reads(i, e, s.get("root"), s.get("params")),
-            "operation": s.get("operation"), "finally_ops": s.get("finally_ops") or [],
+            "operation": s.get("operation"), "finally_ops": s.get("finally_ops") or [], "tag": s.get("tag", ""), "tail": s.get("tail"),
         }
 
     def attach(self, own: list[dict], opener: int, limit: int) -> None:
@@ -646,7 +727,7 @@ class Source:
             lead = [c for c in lead if c[0] >= before]
             tops = [self.line(a) for a, _ in lead] + [first]
             ends = [self.line(b - 1) for _, b in lead]
-            detached = any(not self.lines[n - 1].strip() for e, t in zip(ends, tops[1:]) for n in range(e + 1, t))
+            detached = any(not self.lines[n - 1].strip(JS_SPACE) for e, t in zip(ends, tops[1:]) for n in range(e + 1, t))
             end = s["end"]
             for a, b in marks[bisect_right(self.c_start, s["end"] - 1) :]:
                 if a >= limit or self.line(a) != last:
@@ -656,18 +737,64 @@ class Source:
                 at = bisect_right(self.c_start, end - 1)
                 between = [c for c in marks[at : at + 2] if c[0] < own[n + 1]["start"]]
                 if len(between) == 1 and self.line(between[0][0]) == self.line(end - 1) + 1 and self.line(between[0][1] - 1) + 1 == self.line(own[n + 1]["start"]):
-                    end = between[0][1] if re.search(r"falls? ?through", re.sub(r"\s", " ", self.src[slice(*between[0])].lower())) else end
+                    end = between[0][1] if self.falls(*between[0]) else end
             frozen = bool(lead) and not detached and any(self.directive(a, b) == "ignore" for a, b in lead) and first - ends[-1] <= 1
             s |= {"line": first, "col": self.column(s["start"]), "start_line": first if detached else tops[0], "end_line": self.line(end - 1), "tops": tops, "bottom_line": self.line(end - 1), "detached": detached, "frozen": frozen}
             s["commented"] = tops[0] < first
-            s["blanks"] = sum(not self.lines[n - 1].strip() for n in range(above + 1, s["start_line"])) if above else 0
+            s["blanks"] = sum(not self.lines[n - 1].strip(JS_SPACE) for n in range(above + 1, s["start_line"])) if above else 0
             before, above = end, s["end_line"]
 
 
-def analyse(text: str | None, extension: str = "ts", marker: str = "gapweave", columns: int = COLUMNS) -> dict:
-    """error (None if the text could be read), stmts and lists as dicts."""
+def deeply(work: Callable[[], None]) -> None:
+    """Run on a thread whose stack holds DEEPEST levels of nesting."""
+    failed: list[BaseException] = []
+
+    def go() -> None:
+        limit = sys.getrecursionlimit()
+        sys.setrecursionlimit(max(limit, 16 * DEEPEST))
+        try:
+            work()
+        except BaseException as e:  # noqa: BLE001  raised again by the caller
+            failed.append(e)
+        finally:
+            sys.setrecursionlimit(limit)
+
+    before = threading.stack_size(512 << 20)
+    try:
+        t = threading.Thread(target=go)
+        t.start()
+    finally:
+        threading.stack_size(before)
+    t.join()
+    if failed:
+        raise failed[0]
+
+
+def analyse(text: str | None, extension: str = "ts", marker: str = "gapweave", columns: int = COLUMNS, tab: int = TAB, ruler: str = "prettier", braces: bool = False) -> dict:
+    """error (None if the text could be read), stmts and lists as dicts; with `braces`, of the text without the braces that may go.
+
+    Then also text (without those braces and without byte order mark), braces (line and column of each in the text given), and origin (by line, the one
+    it was); stmts have at_line and at_col, where they were.
+    """
+    from .braces import settled, through  # it reads with Source
+
+    plain = (text or "").removeprefix("\ufeff")
+    got: list = []
+    read = lambda: got.extend(settled(plain, extension, marker, columns, tab, ruler, braces))
     try:
-        s = Source((text or "").removeprefix("﻿"), extension not in NO_JSX, marker, columns)
+        try:
+            read()
+        except RecursionError:
+            got.clear()
+            deeply(read)
     except (Unreadable, IndexError, RecursionError) as e:
-        return {"error": str(e) or "unreadable", "stmts": [], "lists": []}
-    return {"error": None, "stmts": s.stmts, "lists": s.lists}
+        return {"error": str(e) or "unreadable", "stmts": [], "lists": [], "text": plain, "braces": [], "origin": []}
+    s, gone, backs = got
+    first = Places(plain) if backs else s
+    for x in s.stmts:
+        at = through(backs, x["start"])
+        x |= {"at_line": first.line(at), "at_col": first.column(at)} if backs else {"at_line": x["line"], "at_col": x["col"]}
+    return {
+        "error": None, "stmts": s.stmts, "lists": s.lists, "text": s.src, "braces": [{"line": first.line(x), "col": first.column(x)} for x in gone],
+        "origin": [first.line(through(backs, x)) for x in s.starts] if backs else [],
+    }

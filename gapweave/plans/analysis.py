@@ -1,6 +1,7 @@
 """From source text to findings and fixed text: one pass reads the files, windows over (path, list_id) do the rest.
 
-files: path, text.  Only blank lines are judged; braces, off/on regions and changed lines aren't part of these plans.
+files: path, text, and maybe formatter settings by row (sources.statements).  Braces go first, then blank lines are judged on what is left; check
+mode gives every finding at its place in the file, fix mode what can't be fixed at its place in the fixed text.
 """
 from __future__ import annotations
 
@@ -22,6 +23,7 @@ MESSAGES = {
     "after-guard": "add a blank line after the guard above, a new step starts here",
     "short-body": "remove the blank lines between these 2 or 3 compact statements",
     "block-spacing": "add a blank line above this block, or join it to the step above",
+    "braces": "remove the braces around this single statement body",
 }
 #: Messages with places to fill.
 JOIN, WALL = "remove the blank line between `%s` and the `%s` that reads it", "split these %d statements into steps with a blank line"
@@ -48,41 +50,45 @@ def _walls(stmts: DataFrame, gaps: DataFrame) -> DataFrame:
         ((F.col("rule") == "frozen") | some | ((F.col("blanks") > 0) & (~none | F.col("next.detached")))).alias("parted"),
     )
     known = stmts.withColumn("counted", ~F.col("multiline") & (F.col("kind") != "Import")).join(above, ["path", "list_id", "idx"], "left")
-    return sp.walls(known).join(stmts.select("path", "list_id", "idx", "line", "col"), ["path", "list_id", "idx"])
+    return sp.walls(known).join(stmts.select("path", "list_id", "idx", F.col("at_line").alias("line"), F.col("at_col").alias("col")), ["path", "list_id", "idx"])
 
 
-def _parts(files: DataFrame, marker: str, columns: int):
-    read = once(st.parsed(files, marker, columns))
+def _parts(files: DataFrame, marker: str, settings: dict):
+    read = once(st.parsed(files, marker, **settings))
     stmts = st.statements(read)
     gaps = settled(stmts)
-    rows = lines(files.select("path", "text"), "path", "text").withColumn("blank", is_blank("line_text"))
+    rows = lines(read.select("path", "text"), "path", "text").withColumn("blank", is_blank("line_text"))
     edges = sp.blank_edges(st.lists(read), rows)
     return read, stmts, gaps, rows, edges
 
 
-def findings(files: DataFrame, marker: str = "gapweave", columns: int = 80) -> DataFrame:
-    """path, line, col, rule, message, fixable of every finding; a file that can't be read gives a single `parse`."""
-    read, stmts, gaps, rows, edges = _parts(files, marker, columns)
+def findings(files: DataFrame, marker: str = "gapweave", **settings) -> DataFrame:
+    """path, line, col, rule, message, fixable of every finding, at its place in the file; a file that can't be read gives a single `parse`."""
+    read, stmts, gaps, rows, edges = _parts(files, marker, settings)
     n = lambda c: F.col(f"next.{c}")
     wrong = ((F.col("want") == "none") & (F.col("blanks") > 0) & ~n("detached")) | ((F.col("want") == "some") & (F.col("blanks") == 0) & (n("start_line") > F.col("prev.end_line")))
     word = F.when(n("kind") == "Loop", F.lit("loop")).otherwise(F.lower(n("kind")))
     says = F.create_map(*[F.lit(x) for kv in MESSAGES.items() for x in kv])
     message = F.when(F.col("joined_by").isNotNull(), F.format_string(JOIN, "joined_by", word)).otherwise(F.try_element_at(says, F.col("rule")))
-    spaced = gaps.filter(wrong).select("path", n("line").alias("line"), n("col").alias("col"), "rule", message.alias("message"), F.lit(True).alias("fixable"))
+    spaced = gaps.filter(wrong).select("path", n("at_line").alias("line"), n("at_col").alias("col"), "rule", message.alias("message"), F.lit(True).alias("fixable"))
     tight = sp.tight_blocks(gaps).filter(~F.coalesce((n("kind") == "Try") & F.array_contains(n("finally_ops"), F.col("prev.operation")), F.lit(False)))
-    tight = tight.select("path", n("line").alias("line"), n("col").alias("col"), F.lit("block-spacing").alias("rule"), F.lit(MESSAGES["block-spacing"]).alias("message"), F.lit(False).alias("fixable"))
+    tight = tight.select("path", n("at_line").alias("line"), n("at_col").alias("col"), F.lit("block-spacing").alias("rule"), F.lit(MESSAGES["block-spacing"]).alias("message"), F.lit(False).alias("fixable"))
     walls = _walls(stmts, gaps).select("path", "line", "col", F.lit("wall").alias("rule"), F.format_string(WALL, F.col("size")).alias("message"), F.lit(False).alias("fixable"))
-    opening = st.lists(read).select("path", "list_id", "first_line")
-    side = edges.join(opening, ["path", "list_id"]).select("path", "line", F.lit(1).alias("col"), F.lit("edge-blank").alias("rule"), F.when(F.col("line") < F.col("first_line"), AFTER).otherwise(BEFORE).alias("message"), F.lit(True).alias("fixable"))
+    opening = st.lists(read).select("path", "list_id", "first_line").join(read.select("path", "origin"), "path")
+    was = F.coalesce(F.get("origin", F.col("line") - 1), F.col("line"))
+    side = edges.join(opening, ["path", "list_id"]).select("path", was.cast("int").alias("line"), F.lit(1).alias("col"), F.lit("edge-blank").alias("rule"), F.when(F.col("line") < F.col("first_line"), AFTER).otherwise(BEFORE).alias("message"), F.lit(True).alias("fixable"))
     failed = read.filter("error is not null").select("path", F.lit(1).alias("line"), F.lit(1).alias("col"), F.lit("parse").alias("rule"), F.col("error").alias("message"), F.lit(False).alias("fixable"))
+    gone = read.select("path", F.inline("braces")).select("path", "line", "col", F.lit("braces").alias("rule"), F.lit(MESSAGES["braces"]).alias("message"), F.lit(True).alias("fixable"))
     out = spaced
-    for part in (tight, walls, side, failed):
+    for part in (tight, walls, side, failed, gone):
         out = out.unionByName(part)
     return out.select(*FINDING)
 
 
-def fixed(files: DataFrame, marker: str = "gapweave", columns: int = 80) -> DataFrame:
-    """path, text of every file with its blank lines set right; a file that can't be read stays as it is."""
-    _, _, gaps, rows, edges = _parts(files, marker, columns)
+def fixed(files: DataFrame, marker: str = "gapweave", **settings) -> DataFrame:
+    """path, text of every file with its braces and blank lines set right; a file that can't be read stays as it is."""
+    read, _, gaps, rows, edges = _parts(files, marker, settings)
     edits = g.line_edits(gaps, rows).select("path", "line", "op").unionByName(edges.select("path", F.col("line").cast("int"), F.lit("delete").alias("op")))
-    return g.applied(rows, edits)
+    mark = F.substring(F.coalesce("text", F.lit("")), 1, 1) == "\ufeff"
+    marked = files.select("path", mark.alias("_mark"))
+    return g.applied(rows, edits).join(marked, "path").select("path", F.when(F.col("_mark"), F.concat(F.lit("\ufeff"), "text")).otherwise(F.col("text")).alias("text"))
