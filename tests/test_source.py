@@ -79,9 +79,9 @@ AFTER = """function f(xs) {
 
 def test_findings_and_text(spark):
     files = spark.createDataFrame([("a.ts", BEFORE, 1), ("b.ts", AFTER, 2), ("c.ts", "f(", 3), ("d.ts", None, 4)], "path string, text string, error int")
-    got = [(r.path, r.line, r.col, r.rule) for r in analysis.findings(files).orderBy("path", "line", "rule").collect()]
+    got = [(r.path, r.line, r.col, r.rule) for r in analysis.findings(files, braces=False).orderBy("path", "line", "rule").collect()]
     assert got == [("a.ts", 2, 1, "edge-blank"), ("a.ts", 5, 3, "guard-join"), ("a.ts", 6, 3, "after-guard"), ("a.ts", 7, 3, "let-step"), ("a.ts", 11, 3, "after-multiline"), ("c.ts", 1, 1, "parse")]
-    assert {r.path: r.text for r in analysis.fixed(files).collect()} == {"a.ts": AFTER, "b.ts": AFTER, "c.ts": "f(", "d.ts": ""}
+    assert {r.path: r.text for r in analysis.fixed(files, braces=False).collect()} == {"a.ts": AFTER, "b.ts": AFTER, "c.ts": "f(", "d.ts": ""}
 
 
 def test_regions_and_empty_table(spark):
