@@ -33,7 +33,7 @@ LEAF_CHARS = 4096
 LEAF_BYTES = 256
 SPREAD_CHARS = 1 << 20
 #: A worker's cache of units starts anew at this size; it bounds memory, not results.
-CACHE_UNITS = 150_000
+CACHE_UNITS = 100_000
 KEEP_CHARS = 64
 ROWS = 512
 
@@ -64,8 +64,11 @@ class ByteBPE:
         alphabet = byte_alphabet()
         text_of = {i: t for t, i in spec["model"]["vocab"].items()}
         self.special = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
-        self.bytes_of = {i: bytes(alphabet[c] for c in t) for i, t in text_of.items()}
-        self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
+        self.bytes_of = [b""] * (max([*text_of, *self.special.values()]) + 1)
+        for i, t in text_of.items():
+            self.bytes_of[i] = bytes(alphabet[c] for c in t)
+        for t, i in self.special.items():
+            self.bytes_of[i] = t.encode()
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         vocab = spec["model"]["vocab"]
         ids = [vocab[a + b] for a, b in merges]
@@ -75,9 +78,12 @@ class ByteBPE:
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.leaf = tiktoken.Encoding("leaf", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.pattern = regex.compile(pattern)
-        self.own_split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+        # the library's splitter alone, without a second copy of the vocabulary
+        bare = {"version": "1.0", "pre_tokenizer": spec["pre_tokenizer"], "model": {"type": "BPE", "vocab": {}, "merges": []}}
+        self.splitter = Tokenizer.from_str(json.dumps(bare))
+        self.own_split = self.splitter.pre_tokenizer.pre_tokenize_str
         self.at_special = re.compile("|".join(f"({re.escape(t)})" for t in self.special) or r"(?!)")
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, tuple[int, ...]] = {}
 
     # -- splitting -----------------------------------------------------------------------------
 
@@ -138,7 +144,7 @@ class ByteBPE:
         if len(cache) + len(new) > CACHE_UNITS:
             cache = self.cache = {u: cache[u] for u in units if u in cache}
         of = self.tokens_of_unit
-        cache.update({u: of(u) for u in new if len(u) <= KEEP_CHARS})
+        cache.update({u: tuple(of(u)) for u in new if len(u) <= KEEP_CHARS})
 
     def tokens_of_units(self, units: list[str]) -> list[int]:
         try:

@@ -18,13 +18,14 @@ import functools
 import itertools
 import random
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, documents
+from .common import chunks, documents, kept
 
 KINDS = ("email", "ip", "card", "phone")
 MOST_TOKENS = 16
@@ -366,17 +367,18 @@ def all_spans(field: Field, text: str | None) -> tuple[list[tuple[str, int, int]
 def find(df: DataFrame, field: Field | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, spans array<struct<kind, start, end, base>> of each row, by kind and start."""
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    sent = df.sparkSession.sparkContext.broadcast(field or fit())
+    sent, name = df.sparkSession.sparkContext.broadcast(field or fit()), f"pii-{uuid.uuid4().hex}"
     kind_type = "array<struct<kind: string, start: int, end: int, base: boolean>>"
 
     def go(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         item = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
+        own = kept(name, lambda: sent.value)
         for part in chunks(batches, 1, ROWS):
             out = []
             for t in part.column(1).to_pylist():
-                base, added = all_spans(sent.value, t)
+                base, added = all_spans(own, t)
                 both = [(KINDS.index(k), s, e, True) for k, s, e in base] + [(KINDS.index(k), s, e, False) for k, s, e in added]
                 out.append([{"kind": KINDS[k], "start": s, "end": e, "base": x} for k, s, e, x in sorted(both)])
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, item)], names=["key", "spans"])
@@ -386,11 +388,11 @@ def find(df: DataFrame, field: Field | None = None, key: str = "doc_id", text: s
 
 def redact(df: DataFrame, field: Field | None = None, text: str = "text") -> DataFrame:
     """df with each span of its text replaced by its kind in angle brackets; n_chars, if there, counts anew."""
-    sent = df.sparkSession.sparkContext.broadcast(field or fit())
+    sent, name = df.sparkSession.sparkContext.broadcast(field or fit()), f"pii-{uuid.uuid4().hex}"
     at = df.columns.index(text)
 
     def one(t: str | None) -> str | None:
-        base, added = all_spans(sent.value, t)
+        base, added = all_spans(kept(name, lambda: sent.value), t)
         if not base and not added:
             return t
         out, last = [], 0

@@ -18,13 +18,14 @@ kept by keep_clean().
 """
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, documents, table
+from .common import chunks, documents, give_back, kept, table
 
 WINDOW, STRIDE = 24, 12
 WORD_CHARS, PIECE_CHARS = 64, 16
@@ -38,6 +39,7 @@ BATCH, RATE = 256, 0.02
 THRESHOLD = 0.7
 #: Windows scored side by side; a block stays in cache.
 LANES = 2048
+WORDS_AT_ONCE = 8192
 ROWS = 1024
 F32 = np.float32
 
@@ -82,9 +84,16 @@ class Lexicon:
 
     @classmethod
     def of(cls, words: list[str]) -> Lexicon:
-        bucket, owner, gram = word_inputs(words)
-        count = np.bincount(owner, minlength=len(words))
-        return cls(bucket, np.cumsum(count) - count, count, gram[np.argsort(owner, kind="stable")])
+        """WORDS_AT_ONCE by WORDS_AT_ONCE, as the hashes of n-grams take far more room than their buckets."""
+        buckets, counts, grams = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for a in range(0, len(words), WORDS_AT_ONCE):
+            own = words[a : a + WORDS_AT_ONCE]
+            bucket, owner, gram = word_inputs(own)
+            buckets.append(bucket)
+            counts.append(np.bincount(owner, minlength=len(own)))
+            grams.append(gram[np.argsort(owner, kind="stable")].astype(np.int32))
+        count = np.concatenate(counts)
+        return cls(np.concatenate(buckets), np.cumsum(count) - count, count, np.concatenate(grams))
 
     def some(self, rows: np.ndarray) -> Lexicon:
         count = self.count[rows]
@@ -111,9 +120,11 @@ class Network:
 
     def embed(self, lex: Lexicon) -> np.ndarray:
         g = np.zeros((len(lex.bucket), DIM), F32)
-        has = lex.count > 0
-        if has.any():
-            g[has] = np.add.reduceat(self.p["gram"][lex.gram], lex.begin[has], axis=0) / np.sqrt(lex.count[has])[:, None].astype(F32)
+        has = np.flatnonzero(lex.count > 0)
+        for a in range(0, len(has), WORDS_AT_ONCE):
+            rows = has[a : a + WORDS_AT_ONCE]
+            lo, hi = lex.begin[rows[0]], lex.begin[rows[-1]] + lex.count[rows[-1]]
+            g[rows] = np.add.reduceat(self.p["gram"][lex.gram[lo:hi]], lex.begin[rows] - lo, axis=0) / np.sqrt(lex.count[rows])[:, None].astype(F32)
         return np.concatenate([self.p["word"][lex.bucket], g], 1)
 
     def states(self, d: str, gates: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
@@ -206,7 +217,7 @@ def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     begin = np.cumsum(sizes) - sizes
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
     first = begin[owner] + np.minimum(nth * STRIDE, np.maximum(sizes[owner] - WINDOW, 0))
-    place = first[None, :] + np.arange(WINDOW)[:, None]
+    place = (first[None, :] + np.arange(WINDOW)[:, None]).astype(np.int32 if sizes.sum() < 2**31 else np.int64)
     mask = (place < (begin + sizes)[owner][None, :]).astype(F32)
     return np.minimum(place, max(int(sizes.sum()) - 1, 0)), mask, owner
 
@@ -223,7 +234,7 @@ def words_of(text: str | None) -> list[str]:
 def _laid_out(texts: list[str | None]):
     split = [words_of(t) for t in texts]
     index: dict[str, int] = {}
-    flat = np.fromiter((index.setdefault(w, len(index)) for ws in split for w in ws), np.int64, sum(map(len, split)))
+    flat = np.fromiter((index.setdefault(w, len(index)) for ws in split for w in ws), np.int32, sum(map(len, split)))
     place, mask, owner = windows(np.array([len(ws) for ws in split], np.int64))
     return list(index), flat, place, mask, owner
 
@@ -304,33 +315,38 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: s
     rows = labelled.filter(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("h"))
     some = [rows.filter(F.col("label") == v).orderBy("h", "text").limit(n) for v, n in ((1, toxic), (0, clean))]
     got = some[0].union(some[1]).toPandas().sort_values(["h", "label"])
-    return fit(got["text"].tolist(), got["label"].to_numpy(np.int64))
+    try:
+        return fit(got["text"].tolist(), got["label"].to_numpy(np.int64))
+    finally:
+        give_back()
 
 
 def score(df: DataFrame, net: Network, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and score double of each row."""
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    sent = df.sparkSession.sparkContext.broadcast(net)  # its size is fixed
+    sent, name = df.sparkSession.sparkContext.broadcast(net), f"toxicity-{uuid.uuid4().hex}"  # its size is fixed
 
     def go(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        own = kept(name, lambda: sent.value)
         for part in chunks(batches, 1, ROWS):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores(sent.value, part.column(1).to_pylist()), pa.float64())], names=["key", "score"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores(own, part.column(1).to_pylist()), pa.float64())], names=["key", "score"])
 
     return rows.mapInArrow(go, f"key {rows.schema['key'].dataType.simpleString()}, score double").withColumnRenamed("key", key)
 
 
 def keep_clean(df: DataFrame, net: Network, text: str = "text") -> DataFrame:
     """The rows of df whose score is under THRESHOLD."""
-    sent = df.sparkSession.sparkContext.broadcast(net)
+    sent, name = df.sparkSession.sparkContext.broadcast(net), f"toxicity-{uuid.uuid4().hex}"
     at = df.columns.index(text)
 
     def go(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        own = kept(name, lambda: sent.value)
         for part in chunks(batches, at, ROWS):
-            yield part.filter(pa.array(scores(sent.value, part.column(at).to_pylist()) < THRESHOLD))
+            yield part.filter(pa.array(scores(own, part.column(at).to_pylist()) < THRESHOLD))
 
     return df.mapInArrow(go, df.schema)
 
