@@ -226,24 +226,95 @@ def applied(text: str, edits: list[tuple[int, int, str]]) -> str:
     return done
 
 
-def settled(text: str, extension: str, marker: str, columns: int, tab: int, ruler: str, remove: bool = True) -> tuple[Source, list[int], list[Moved]]:
-    """The reading of the text without the braces that may go, where each of them was in `text`, and the way back."""
-    s = Source(text, extension not in NO_JSX, marker, columns, tab, ruler)
+class Changes:
+    """Changed lines, and lines after which something was deleted; without them everything counts as changed."""
+
+    def __init__(self, lines, deleted):
+        self.lines, self.deleted = sorted(set(lines)), sorted(set(deleted))
+
+    def touch(self, first: int, last: int) -> bool:
+        k, j = bisect_left(self.lines, first), bisect_left(self.deleted, first)
+        return k < len(self.lines) and self.lines[k] <= last or j < len(self.deleted) and self.deleted[j] < last
+
+    def moved(self, old: Source, moved: Moved, new: Source) -> Changes:
+        """The same in the edited text."""
+        end = lambda line: old.starts[line] if line < len(old.starts) else len(old.src)
+
+        def before(offset: int) -> int:
+            line = new.line(min(offset, len(new.src)))
+            return line - (new.starts[line - 1] == offset)
+
+        lines: set[int] = set()
+        deleted = {before(moved.forward(end(x))) for x in self.deleted}
+        for x in self.lines:
+            if 1 <= x <= len(old.starts):
+                a, b = moved.forward(old.starts[x - 1]), moved.forward(end(x))
+                if a == b:
+                    deleted.add(before(a))
+                else:
+                    lines.update(range(new.line(a), new.line(max(min(b, len(new.src)) - 1, 0)) + 1))
+        return Changes(lines, deleted)
+
+
+def _in_reach(s: Source, changes: Changes, remove, read) -> list[tuple[int, int, int]]:
+    """Blocks that changed lines reach: touched themselves, or part of a touched pair of statements, or of a short body that removal makes."""
+    preview: list = []
+
+    def whole():
+        if not preview:
+            edits, gone = remove(s, s.eligible)
+            new = read(applied(s.src, edits))
+            preview.append((Moved(edits), edits, gone, {x["start"] for x in new.stmts if x["compact"]}))
+        return preview[0]
+
+    def compact(x: dict) -> bool:
+        if x["compact"]:
+            return True
+        moved, edits, _, starts = whole()
+        lo = max(0, s.starts[x["start_line"] - 1] - 1)
+        return any(a < x["end"] and b >= lo for a, b, _ in edits) and moved.forward(x["start"]) in starts
+
+    owners: set[int] = set()
+    blocks: set[int] = set()
+    lists: dict[int, list[dict]] = {}
+    for x in s.stmts:
+        lists.setdefault(x["list_id"], []).append(x)
+    for own in lists.values():
+        for prev, nxt in zip(own, own[1:]):
+            if not changes.touch(prev["start_line"], nxt["end_line"]):
+                continue
+            if not (own[0]["list_kind"] == "Block" and 2 <= len(own) <= 3 and all(map(compact, own))):
+                owners.update((s.anchor(prev), s.anchor(nxt)))
+                continue
+            owners.update(map(s.anchor, own))
+            if not all(x["compact"] for x in own):
+                blocks.update(x for x in whole()[2] if own[0]["start"] <= x < own[-1]["end"])
+            break
+    start = s.t.start
+    return [e for e in s.eligible if changes.touch(s.line(start[e[0]]), s.line(s.t.end[s.m[e[0]]] - 1)) or s.head(e[2]) in owners or start[e[0]] in blocks]
+
+
+def settled(text: str, extension: str, marker: str, columns: int, tab: int, ruler: str, remove: bool = True, changes: Changes | None = None) -> tuple[Source, list[int], list[Moved], Changes | None]:
+    """The reading of the text without the braces that may go (and that changed lines reach, if given), where each of them was in `text`, the way
+    back, and the changed lines of the new text."""
+    read = lambda t: Source(t, extension not in NO_JSX, marker, columns, tab, ruler)
+    take = lambda s, eligible: Remover(s, columns, tab, ruler).run(eligible)
+    s = read(text)
     found: list[int] = []
     backs: list[Moved] = []
     while remove:
-        edits, starts = Remover(s, columns, tab, ruler).run(s.eligible)
+        edits, starts = take(s, s.eligible if changes is None else _in_reach(s, changes, take, read))
         if not edits:
             break
-        found += [through(backs, x) for x in starts]
-        new = applied(s.src, edits)
         try:
-            again = Source(new, extension not in NO_JSX, marker, columns, tab, ruler)
+            again = read(applied(s.src, edits))
         except (Unreadable, IndexError):  # what can't be read again is left as it was
             break
+        found += [through(backs, x) for x in starts]
         backs.append(Moved(edits))
+        changes = changes and changes.moved(s, backs[-1], again)
         s = again
-    return s, found, backs
+    return s, found, backs, changes
 
 
 def through(backs: list[Moved], offset: int) -> int:

@@ -204,6 +204,10 @@ class Source(Places):
         self.held: dict[int, tuple[list[dict], int]] = {}
         #: Offsets of alternates and labelled statements, by owner: an ignored owner passes that on to them.
         self.heirs: dict[int, list[int]] = {}
+        #: By offset of a label: the statement behind it.
+        self.labels: dict[int, int] = {}
+        #: By offset of an if that is an alternate: the if above it.
+        self.above: dict[int, int] = {}
         self.n, self.m = len(self.t.kind), self.t.match
         Places.__init__(self, text)
         self.lines = text.split("\n")
@@ -271,6 +275,19 @@ class Source(Places):
         if self.w(brace) == "{":
             self.eligible.append((brace, self.t.start[header], self.t.start[owner]))
 
+    def head(self, owner: int) -> int:
+        """Where the chain of ifs that an owner belongs to starts."""
+        while owner in self.above:
+            owner = self.above[owner]
+        return owner
+
+    def anchor(self, s: dict) -> int:
+        """Where a statement starts, behind its labels."""
+        at = s["start"]
+        while at in self.labels:
+            at = self.labels[at]
+        return at
+
     def tail(self, body: int, s: dict):
         """How a statement ends: with the block at an offset, or with that statement."""
         return self.t.start[body] if self.w(body) == "{" else s
@@ -309,6 +326,8 @@ class Source(Places):
                 self.control(m[i + 1] + 1, i, i)
                 self.control(e + 1, e, i)
                 self.heirs.setdefault(self.t.start[i], []).append(self.t.start[e + 1])
+                if other["kind"] == "If":
+                    self.above[self.t.start[e + 1]] = self.t.start[i]
                 return {"end": other["end"], "kind": "If", "tag": "if", "tail": self.tail(e + 1, other), "arms": arms + ([(e, *more[0][1:]), *more[1:]] if more else [(e, e + 1, other)])}
             held = then.get("held")
             one = held is None or len(held) == 1
@@ -373,6 +392,7 @@ class Source(Places):
         if self.t.kind[i] == "id" and nxt == ":" and w not in KEYWORDS:
             then = self.statement(i + 2, j)
             self.heirs.setdefault(self.t.start[i], []).append(self.t.start[i + 2])
+            self.labels[self.t.start[i]] = self.t.start[i + 2]
             return {"end": then["end"], "kind": "Other", "tag": "label", "tail": self.tail(i + 2, then)}
         e = self.expression_end(i, j)
         self.inner(i, e)
@@ -770,17 +790,20 @@ def deeply(work: Callable[[], None]) -> None:
         raise failed[0]
 
 
-def analyse(text: str | None, extension: str = "ts", marker: str = "gapweave", columns: int = COLUMNS, tab: int = TAB, ruler: str = "prettier", braces: bool = False) -> dict:
+def analyse(text: str | None, extension: str = "ts", marker: str = "gapweave", columns: int = COLUMNS, tab: int = TAB, ruler: str = "prettier", braces: bool = False, lines: list[int] | None = None, deleted: list[int] | None = None) -> dict:
     """error (None if the text could be read), stmts and lists as dicts; with `braces`, of the text without the braces that may go.
 
     Then also text (without those braces and without byte order mark), braces (line and column of each in the text given), and origin (by line, the one
-    it was); stmts have at_line and at_col, where they were.
+    it was); stmts have at_line and at_col, where they were.  With changed lines (and lines after which something was deleted) only braces in their reach go;
+    stmts and lists tell what they touch: `touched` of the gap above a statement, `first_touched` and `last_touched` of the edges of a list, and `changed`
+    and `deleted` are those of the new text.
     """
-    from .braces import settled, through  # it reads with Source
+    from .braces import Changes, settled, through  # it reads with Source
 
     plain = (text or "").removeprefix("\ufeff")
     got: list = []
-    read = lambda: got.extend(settled(plain, extension, marker, columns, tab, ruler, braces))
+    given = None if lines is None and deleted is None else Changes(lines or (), deleted or ())
+    read = lambda: got.extend(settled(plain, extension, marker, columns, tab, ruler, braces, given))
     try:
         try:
             read()
@@ -788,13 +811,21 @@ def analyse(text: str | None, extension: str = "ts", marker: str = "gapweave", c
             got.clear()
             deeply(read)
     except (Unreadable, IndexError, RecursionError) as e:
-        return {"error": str(e) or "unreadable", "stmts": [], "lists": [], "text": plain, "braces": [], "origin": []}
-    s, gone, backs = got
+        return {"error": str(e) or "unreadable", "stmts": [], "lists": [], "text": plain, "braces": [], "origin": [], "changed": lines, "deleted": deleted}
+    s, gone, backs, now = got
+    touch = now.touch if now else lambda first, last: True
+    before: dict[int, int] = {}
+    for x in s.stmts:
+        x["touched"] = x["list_id"] in before and touch(before[x["list_id"]], x["end_line"])
+        before[x["list_id"]] = x["start_line"]
+    for y in s.lists:
+        if y["first_line"] is not None:
+            y |= {"first_touched": touch(y["open_line"], y["first_line"]), "last_touched": touch(y["last_line"], y["close_line"])}
     first = Places(plain) if backs else s
     for x in s.stmts:
         at = through(backs, x["start"])
         x |= {"at_line": first.line(at), "at_col": first.column(at)} if backs else {"at_line": x["line"], "at_col": x["col"]}
     return {
         "error": None, "stmts": s.stmts, "lists": s.lists, "text": s.src, "braces": [{"line": first.line(x), "col": first.column(x)} for x in gone],
-        "origin": [first.line(through(backs, x)) for x in s.starts] if backs else [],
+        "origin": [first.line(through(backs, x)) for x in s.starts] if backs else [], "changed": now and now.lines, "deleted": now and now.deleted,
     }

@@ -72,10 +72,13 @@ def tight_blocks(gaps: DataFrame) -> DataFrame:
 def blank_edges(lists: DataFrame, lines: DataFrame) -> DataFrame:
     """path, list_id, line: a row for each blank line right inside a braced list.
 
-    lists: path, list_id, braced, open_line, first_line (of its first statement), last_line (of its last), close_line; lines: path, line, blank.
+    lists: path, list_id, braced, open_line, first_line (of its first statement), last_line (of its last), close_line, and maybe
+    first_touched, last_touched (whether changed lines touch that edge); lines: path, line, blank.
     """
-    spans = F.array(F.struct(F.col("open_line").alias("a"), F.col("first_line").alias("b")), F.struct(F.col("last_line").alias("a"), F.col("close_line").alias("b")))
-    edges = lists.filter("braced and open_line <> close_line").select("path", "list_id", F.explode(spans).alias("e"))
+    touched = lambda c: F.coalesce(F.col(c), F.lit(True)) if c in lists.columns else F.lit(True)
+    span = lambda a, b, c: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), touched(c).alias("touched"))
+    spans = F.array(span("open_line", "first_line", "first_touched"), span("last_line", "close_line", "last_touched"))
+    edges = lists.filter("braced and open_line <> close_line").select("path", "list_id", F.explode(spans).alias("e")).filter("e.touched")
     blank = lines.filter("blank").select(F.col("path").alias("_p"), "line")
     return edges.join(blank, (F.col("path") == F.col("_p")) & (F.col("line") > F.col("e.a")) & (F.col("line") < F.col("e.b"))).select("path", "list_id", "line").distinct()
 

@@ -45,12 +45,33 @@ def settled(stmts: DataFrame) -> DataFrame:
 def _walls(stmts: DataFrame, gaps: DataFrame) -> DataFrame:
     none = F.coalesce(F.col("want") == "none", F.lit(False))
     some = F.coalesce(F.col("want") == "some", F.lit(False))
+    blank, touched = F.col("blanks") > 0, F.col("next.touched")
+    settles = some | (blank & (~none | F.col("next.detached")))  # what isn't touched stays as it is
     above = gaps.select(
-        "path", "list_id", F.col("next.idx").alias("idx"), (none & ~F.col("next.detached") & ~F.col("next.commented")).alias("forced"),
-        ((F.col("rule") == "frozen") | some | ((F.col("blanks") > 0) & (~none | F.col("next.detached")))).alias("parted"),
+        "path", "list_id", F.col("next.idx").alias("idx"), (none & ~F.col("next.detached") & ~F.col("next.commented") & (~blank | touched)).alias("forced"),
+        ((F.col("rule") == "frozen") | F.when(touched, settles).otherwise(blank)).alias("parted"),
     )
     known = stmts.withColumn("counted", ~F.col("multiline") & (F.col("kind") != "Import")).join(above, ["path", "list_id", "idx"], "left")
-    return sp.walls(known).join(stmts.select("path", "list_id", "idx", F.col("at_line").alias("line"), F.col("at_col").alias("col")), ["path", "list_id", "idx"])
+    found = sp.walls(known).withColumn("last", F.col("idx") + F.col("size") - 1)
+    ends = stmts.select("path", "list_id", F.col("idx").alias("last"), "end_line")
+    return found.join(stmts.select("path", "list_id", "idx", "start_line", F.col("at_line").alias("line"), F.col("at_col").alias("col")), ["path", "list_id", "idx"]).join(ends, ["path", "list_id", "last"])
+
+
+def _touched(walls: DataFrame, read: DataFrame) -> DataFrame:
+    """Walls that changed lines touch, where a file has any to tell."""
+    free = read.filter("changed is null and deleted is null").select("path")
+    point = lambda c, kind: read.select("path", F.explode(c).alias("line"), F.lit(kind).alias("kind"))
+    scoped = walls.join(free, "path", "left_anti")
+    inside = sp.in_scope(scoped, point("changed", "line").unionByName(point("deleted", "deleted_after")), "start_line", "end_line")
+    return walls.join(free, "path", "left_semi").unionByName(inside)
+
+
+def with_changes(files: DataFrame, changed: DataFrame) -> DataFrame:
+    """files with lines and deleted from changed (path, line, kind): only what they touch is judged; a file without any has empty ones."""
+    of = lambda kind: F.coalesce(F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("line").cast("int")))), F.array().cast("array<int>"))
+    both = changed.groupBy("path").agg(of("line").alias("lines"), of("deleted_after").alias("deleted"))
+    empty = F.array().cast("array<int>")
+    return files.join(both, "path", "left").withColumns({"lines": F.coalesce("lines", empty), "deleted": F.coalesce("deleted", empty)})
 
 
 def _parts(files: DataFrame, marker: str, settings: dict):
@@ -64,16 +85,18 @@ def _parts(files: DataFrame, marker: str, settings: dict):
 
 def findings(files: DataFrame, marker: str = "gapweave", **settings) -> DataFrame:
     """path, line, col, rule, message, fixable of every finding, at its place in the file; a file that can't be read gives a single `parse`."""
-    read, stmts, gaps, rows, edges = _parts(files, marker, settings)
+    read, stmts, every, rows, edges = _parts(files, marker, settings)
+    gaps = every
     n = lambda c: F.col(f"next.{c}")
     wrong = ((F.col("want") == "none") & (F.col("blanks") > 0) & ~n("detached")) | ((F.col("want") == "some") & (F.col("blanks") == 0) & (n("start_line") > F.col("prev.end_line")))
     word = F.when(n("kind") == "Loop", F.lit("loop")).otherwise(F.lower(n("kind")))
     says = F.create_map(*[F.lit(x) for kv in MESSAGES.items() for x in kv])
     message = F.when(F.col("joined_by").isNotNull(), F.format_string(JOIN, "joined_by", word)).otherwise(F.try_element_at(says, F.col("rule")))
+    gaps = gaps.filter("next.touched")
     spaced = gaps.filter(wrong).select("path", n("at_line").alias("line"), n("at_col").alias("col"), "rule", message.alias("message"), F.lit(True).alias("fixable"))
     tight = sp.tight_blocks(gaps).filter(~F.coalesce((n("kind") == "Try") & F.array_contains(n("finally_ops"), F.col("prev.operation")), F.lit(False)))
     tight = tight.select("path", n("at_line").alias("line"), n("at_col").alias("col"), F.lit("block-spacing").alias("rule"), F.lit(MESSAGES["block-spacing"]).alias("message"), F.lit(False).alias("fixable"))
-    walls = _walls(stmts, gaps).select("path", "line", "col", F.lit("wall").alias("rule"), F.format_string(WALL, F.col("size")).alias("message"), F.lit(False).alias("fixable"))
+    walls = _touched(_walls(stmts, every), read).select("path", "line", "col", F.lit("wall").alias("rule"), F.format_string(WALL, F.col("size")).alias("message"), F.lit(False).alias("fixable"))
     opening = st.lists(read).select("path", "list_id", "first_line").join(read.select("path", "origin"), "path")
     was = F.coalesce(F.get("origin", F.col("line") - 1), F.col("line"))
     side = edges.join(opening, ["path", "list_id"]).select("path", was.cast("int").alias("line"), F.lit(1).alias("col"), F.lit("edge-blank").alias("rule"), F.when(F.col("line") < F.col("first_line"), AFTER).otherwise(BEFORE).alias("message"), F.lit(True).alias("fixable"))
@@ -88,7 +111,7 @@ def findings(files: DataFrame, marker: str = "gapweave", **settings) -> DataFram
 def fixed(files: DataFrame, marker: str = "gapweave", **settings) -> DataFrame:
     """path, text of every file with its braces and blank lines set right; a file that can't be read stays as it is."""
     read, _, gaps, rows, edges = _parts(files, marker, settings)
-    edits = g.line_edits(gaps, rows).select("path", "line", "op").unionByName(edges.select("path", F.col("line").cast("int"), F.lit("delete").alias("op")))
+    edits = g.line_edits(gaps.filter("next.touched"), rows).select("path", "line", "op").unionByName(edges.select("path", F.col("line").cast("int"), F.lit("delete").alias("op")))
     mark = F.substring(F.coalesce("text", F.lit("")), 1, 1) == "\ufeff"
     marked = files.select("path", mark.alias("_mark"))
     return g.applied(rows, edits).join(marked, "path").select("path", F.when(F.col("_mark"), F.concat(F.lit("\ufeff"), "text")).otherwise(F.col("text")).alias("text"))

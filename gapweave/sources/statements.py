@@ -12,10 +12,10 @@ from ..functions import syntax
 
 STATEMENT = (
     "list_id int, idx int, list_kind string, kind string, line int, col int, start_line int, end_line int, multiline boolean, compact boolean, guard boolean, jump string, "
-    "case_body boolean, names array<string>, is_let boolean, reads array<string>, detached boolean, commented boolean, frozen boolean, blanks int, operation string, finally_ops array<string>, at_line int, at_col int"
+    "case_body boolean, names array<string>, is_let boolean, reads array<string>, detached boolean, commented boolean, frozen boolean, blanks int, operation string, finally_ops array<string>, at_line int, at_col int, touched boolean"
 )
-LIST = "list_id int, braced boolean, open_line int, first_line int, last_line int, close_line int"
-PARSED = f"path string, error string, text string, braces array<struct<line: int, col: int>>, origin array<int>, stmts array<struct<{STATEMENT.replace(' ', ':').replace(',:', ', ')}>>, lists array<struct<{LIST.replace(' ', ':').replace(',:', ', ')}>>"
+LIST = "list_id int, braced boolean, open_line int, first_line int, last_line int, close_line int, first_touched boolean, last_touched boolean"
+PARSED = f"path string, error string, text string, braces array<struct<line: int, col: int>>, origin array<int>, changed array<int>, deleted array<int>, stmts array<struct<{STATEMENT.replace(' ', ':').replace(',:', ', ')}>>, lists array<struct<{LIST.replace(' ', ':').replace(',:', ', ')}>>"
 ROWS = 64
 
 
@@ -24,7 +24,7 @@ def parsed(files: DataFrame, marker: str = "gapweave", columns: int = syntax.COL
 
     With `braces`, text is the one without the braces that may go, stmts and lists are its own, braces are those removed and origin tells, by line, where
     it was in the file (empty if no line moved).  files may have columns, tab, ruler (formatter settings) and braces (whether they may go) by row; null ones
-    fall back on the arguments; other columns are ignored.  A path is a key: repeat it and its statements repeat.  The dialect follows the path's extension;
+    fall back on the arguments, and lines and deleted (changed lines, and lines after which something was deleted; both null: all is in scope); other columns are ignored.  A path is a key: repeat it and its statements repeat.  The dialect follows the path's extension;
     an unknown one is read as ts.
     """
     fields = {"stmts": [x.split()[0] for x in STATEMENT.split(", ")], "lists": [x.split()[0] for x in LIST.split(", ")]}
@@ -41,11 +41,11 @@ def parsed(files: DataFrame, marker: str = "gapweave", columns: int = syntax.COL
                     path = row["path"]
                     own = [default if row.get(k) is None else row[k] for k, default in settings.items()]
                     extension = (path or "").rpartition(".")[2].lower()
-                    found = syntax.analyse(row["text"], extension if extension in syntax.EXTENSIONS and "." in path else "ts", marker, *own)
-                    rows.append({"path": path} | {k: found[k] for k in ("error", "text", "braces", "origin")} | {k: [{f: s.get(f) for f in names} for s in found[k]] for k, names in fields.items()})
+                    found = syntax.analyse(row["text"], extension if extension in syntax.EXTENSIONS and "." in path else "ts", marker, *own, row.get("lines"), row.get("deleted"))
+                    rows.append({"path": path} | {k: found[k] for k in ("error", "text", "braces", "origin", "changed", "deleted")} | {k: [{f: s.get(f) for f in names} for s in found[k]] for k, names in fields.items()})
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.select("path", "text", *[k for k in settings if k in files.columns]).mapInArrow(go, PARSED)
+    return files.select("path", "text", *[k for k in (*settings, "lines", "deleted") if k in files.columns]).mapInArrow(go, PARSED)
 
 
 def statements(read: DataFrame) -> DataFrame:
