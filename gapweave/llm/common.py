@@ -4,6 +4,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -64,8 +65,11 @@ CHUNK_BYTES = 4 << 20
 def lean(spark: SparkSession, rows: int = 1024) -> None:
     """Arrow batches of at most so many rows and bytes, in this session: long texts would make the usual ones large."""
     for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", 2 * CHUNK_BYTES)):
-        now = spark.conf.get(name, None)
-        if now is not None and not 0 < int(str(now).rstrip("b")) <= most:
+        try:
+            now = int(re.sub(r"\D+$", "", spark.conf.get(name)))
+        except Exception:  # noqa: BLE001  a version without that setting
+            continue
+        if not 0 < now <= most:
             spark.conf.set(name, str(most))
 
 
