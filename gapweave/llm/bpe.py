@@ -27,7 +27,7 @@ from itertools import chain
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, documents, kept
+from .common import chunks, documents, kept, lean
 
 LEAF_CHARS = 4096
 LEAF_BYTES = 256
@@ -185,6 +185,7 @@ def _arrow(key_type, keys: list, ids: list[list[int]], texts: list[str] | None):
 
 def encode_decode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", spread_chars: int = SPREAD_CHARS) -> DataFrame:
     """key, ids array<int>, decoded string: a row for each row of df; the text encoded whole, and its ids decoded."""
+    lean(df.sparkSession)
     rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     schema = f"key {rows.schema['key'].dataType.simpleString()}, ids array<int>, decoded string"
 

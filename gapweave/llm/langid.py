@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, documents, kept
+from .common import chunks, documents, kept, lean
 from .pieces import MARK, SIDE_BY_SIDE, Pieces, default_path, vocabulary
 
 SAMPLE_DOCS = 3000
@@ -246,6 +246,7 @@ def train(labelled: DataFrame, path: str, text: str = "text", lang: str = "lang"
 
 def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, lang_pred string, score double for each row."""
+    lean(df.sparkSession)
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     sent = df.sparkSession.sparkContext.broadcast(model)  # pieces by languages: bounded by the vocabulary
     name = f"langid-{uuid.uuid4().hex}"

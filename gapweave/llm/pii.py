@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, documents, kept
+from .common import chunks, documents, kept, lean
 
 KINDS = ("email", "ip", "card", "phone")
 MOST_TOKENS = 16
@@ -367,6 +367,7 @@ def all_spans(field: Field, text: str | None) -> tuple[list[tuple[str, int, int]
 def find(df: DataFrame, field: Field | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, spans array<struct<kind, start, end, base>> of each row, by kind and start."""
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    lean(df.sparkSession)
     sent, name = df.sparkSession.sparkContext.broadcast(field or fit()), f"pii-{uuid.uuid4().hex}"
     kind_type = "array<struct<kind: string, start: int, end: int, base: boolean>>"
 
@@ -388,6 +389,7 @@ def find(df: DataFrame, field: Field | None = None, key: str = "doc_id", text: s
 
 def redact(df: DataFrame, field: Field | None = None, text: str = "text") -> DataFrame:
     """df with each span of its text replaced by its kind in angle brackets; n_chars, if there, counts anew."""
+    lean(df.sparkSession)
     sent, name = df.sparkSession.sparkContext.broadcast(field or fit()), f"pii-{uuid.uuid4().hex}"
     at = df.columns.index(text)
 

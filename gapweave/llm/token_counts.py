@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, documents, kept
+from .common import chunks, documents, kept, lean
 from .pieces import MARK, SIDE_BY_SIDE, Pieces, by_end, default_path, vocabulary
 
 CACHE_WORDS = 200_000
@@ -114,6 +114,7 @@ class Counter:
 
 def token_counts(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and n_tokens long for each row."""
+    lean(df.sparkSession)
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def count(batches: Iterator) -> Iterator:

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, documents, give_back, kept, table
+from .common import chunks, documents, give_back, kept, lean, table
 
 WINDOW, STRIDE = 24, 12
 WORD_CHARS, PIECE_CHARS = 64, 16
@@ -323,6 +323,7 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: s
 
 def score(df: DataFrame, net: Network, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and score double of each row."""
+    lean(df.sparkSession)
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     sent, name = df.sparkSession.sparkContext.broadcast(net), f"toxicity-{uuid.uuid4().hex}"  # its size is fixed
 
@@ -338,6 +339,7 @@ def score(df: DataFrame, net: Network, key: str = "doc_id", text: str = "text")
 
 def keep_clean(df: DataFrame, net: Network, text: str = "text") -> DataFrame:
     """The rows of df whose score is under THRESHOLD."""
+    lean(df.sparkSession)
     sent, name = df.sparkSession.sparkContext.broadcast(net), f"toxicity-{uuid.uuid4().hex}"
     at = df.columns.index(text)
 
