@@ -1,10 +1,13 @@
 """Exact top-k search by inner product: a ball tree per shard, branch and bound.
 
-Vectors are whole numbers, floor(scale * x).  Rows are dealt to shards of SHARD_ROWS by hash, queries to blocks of
-BLOCK_QUERIES; a task holds one shard and one block, whatever the table's size.  A node of the ball tree bounds every score
-below it by q . centre + |q| * radius.  A query visits the child of higher bound first and skips nodes whose bound lies
-under its kth score so far.  The first search goes to one shard for each query; its kth score is then shared as
-the starting bound of all other shards, where most nodes fall to it.
+Vectors are whole numbers, floor(scale * x).  Rows go to the region of their nearest pivot (at most MOST_PIVOTS rows, those of smallest hash: a bounded
+sample that only decides where rows lie, never what is found) and regions are cut into shards of about SHARD_ROWS by hash.  Each shard's tree is built
+once and written to the shared folder.  A node bounds every score below it by q . centre + |q| * radius; a search visits the child of higher bound first
+and skips nodes whose bound lies under the kth score so far.
+
+Shards are searched in waves: for each query first the shard of highest bound, then the next NEXT ones, then the rest.  Between waves the kth score of each
+query over all shards is shared, and only shards whose bound reaches it are asked at all; queries travel to trees, in blocks of about BLOCK_QUERIES, so a
+task holds one tree and one block, whatever the tables' sizes.
 
 Vectors that are null or hold null or non-finite components take no part, nor do rows without an id; shorter vectors
 count as padded with 0.  Ties go to the smaller id; rows that repeat an id are candidates of their own, but never of a query with
@@ -12,13 +15,17 @@ that id, and a repeated query is asked once.  Scores beyond 64 bits stop at the
 """
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialised, pieces, table
+from .common import lean, materialised, pieces, table
 
 SHARD_ROWS, BLOCK_QUERIES, LEAF_ROWS = 8192, 2048, 128
+MOST_PIVOTS, NEXT, BLOCK_SHARDS = 512, 4, 1024
 LOWEST, HIGHEST = -(2**63), 2**63 - 1
 SCHEMA = "query_id long, vec_id long, score long"
 
@@ -107,30 +114,77 @@ class Search:
         self.score[rows], self.id[rows], self.found[rows] = (np.take_along_axis(v, order, 1) for v in (score, ids, found))
 
 
-def _matrix(vectors, width: int) -> np.ndarray:
-    out = np.zeros((len(vectors), width))
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
-    return out
+def _small(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the narrowest type that holds them."""
+    most = np.abs(x).max(initial=0)
+    return x.astype(np.int16 if most < 2**15 else np.int32 if most < 2**31 else np.float64)
 
 
-def _search(k: int):
-    def go(key, shard, queries):
+def _build(width: int):
+    def go(key, f):
         import pandas as pd
 
-        if not len(shard) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        width = max(max(map(len, shard["v"])), max(map(len, queries["q"])), 1)
-        tree = BallTree(_matrix(shard["v"], width), shard["vec_id"].to_numpy(np.int64))
-        floor = queries["floor"].to_numpy(float) if "floor" in queries else np.full(len(queries), -np.inf)
-        s = Search(_matrix(queries["q"], width), queries["query_id"].to_numpy(np.int64), floor, k)
-        s.visit(tree, tree.root, np.arange(len(queries)))
-        row, col = np.nonzero(s.found)
-        return pd.DataFrame({"query_id": s.query_ids[row], "vec_id": s.id[row, col], "score": s.score[row, col]})
+        x = np.stack(f["v"].to_numpy()).reshape(len(f), width)
+        tree = BallTree(x, f["vec_id"].to_numpy(np.int64))
+        centre, radius, _ = tree.nodes[tree.root]
+        tree.x = _small(tree.x)
+        return pd.DataFrame({"shard": [int(key[0])], "centre": [centre], "radius": [radius], "tree": [pickle.dumps(tree, 5)]})
+
+    return go
+
+
+def _vectors(column, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), width)
+
+
+def _searched(width: int, k: int):
+    def go(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            for i in range(b.num_rows):
+                tree = pickle.loads(b.column("tree")[i].as_py())  # what _build wrote
+                tree.x = tree.x.astype(float)
+                asked = b.column("asked")[i].values
+                ids = asked.field("query_id").to_numpy(zero_copy_only=False)
+                s = Search(_vectors(asked.field("q"), width), ids, asked.field("floor").to_numpy(zero_copy_only=False), k)
+                s.visit(tree, tree.root, np.arange(len(ids)))
+                row, col = np.nonzero(s.found)
+                yield pa.RecordBatch.from_arrays([pa.array(s.query_ids[row], pa.int64()), pa.array(s.id[row, col], pa.int64()), pa.array(s.score[row, col], pa.int64())], names=["query_id", "vec_id", "score"])
 
     return go
 
 
+def _bounds(queries: DataFrame, balls: DataFrame, width: int, best: bool) -> DataFrame:
+    """query_id, q, floor, shard, bound: for each query the shard of highest bound of each block of shards, or all that reach its floor.
+
+    queries: query_id, q, floor; balls: shard, centre, radius.  Shards are some ten thousandth of the rows; they are met in blocks, by an equi-join.
+    """
+    n = pieces(balls.count(), BLOCK_SHARDS)
+    packed = balls.withColumn("part", (F.col("shard") % n).cast("int")).groupBy("part").agg(F.collect_list(F.struct("shard", "centre", "radius")).alias("balls"))
+    asked = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(1 << 20)) % pieces(queries.count(), BLOCK_QUERIES))
+    grouped = asked.groupBy("part", "block").agg(F.collect_list(F.struct("query_id", "q", "floor")).alias("asked"))
+
+    def go(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            for i in range(b.num_rows):
+                them, asked = b.column("balls")[i].values, b.column("asked")[i].values
+                centre, q = _vectors(them.field("centre"), width), _vectors(asked.field("q"), width)
+                radius, shard = them.field("radius").to_numpy(zero_copy_only=False), them.field("shard").to_numpy(zero_copy_only=False)
+                norm = np.sqrt((q * q).sum(1))[:, None]
+                bound = q @ centre.T + norm * radius + 1e-9 * norm * (np.sqrt((centre * centre).sum(1)) + radius) + 1e-3
+                if best:
+                    row, col = np.arange(len(q)), bound.argmax(1)
+                else:
+                    row, col = np.nonzero(bound >= asked.field("floor").to_numpy(zero_copy_only=False)[:, None])
+                pick = asked.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pick.field("query_id"), pick.field("q"), pick.field("floor"), pa.array(shard[col], pa.int32()), pa.array(bound[row, col])], names=["query_id", "q", "floor", "shard", "bound"])
+
+    return grouped.join(packed, "part").mapInArrow(go, "query_id long, q array<double>, floor double, shard int, bound double")
+
+
 def whole_numbers(df: DataFrame, scale: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """vec_id, v array<double> of whole numbers; without rows that take no part."""
     good = F.col(vector).isNotNull() & F.col(key).isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -143,25 +197,73 @@ def _floor(x):
     return F.when(F.abs(x) < 2.0**52, F.floor(x).cast("double")).otherwise(x)
 
 
+def _sharded(vectors: DataFrame, n: int) -> DataFrame:
+    """vectors with their shard: regions around pivots, cut by hash."""
+    shards = pieces(n, SHARD_ROWS)
+    spark = vectors.sparkSession
+    if shards == 1:
+        return vectors.withColumn("shard", F.lit(0))
+    pivots = np.stack([r["v"] for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(MOST_PIVOTS, shards)).collect()])
+    sent = spark.sparkContext.broadcast(pivots)  # MOST_PIVOTS rows at most
+
+    def go(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            p = sent.value
+            x = _vectors(b.column(1), p.shape[1])
+            near = ((p * p).sum(1) - 2 * (x @ p.T)).argmin(1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.int32())], names=["vec_id", "v", "region"])
+
+    placed = materialised(vectors.select("vec_id", "v").mapInArrow(go, "vec_id long, v array<double>, region int"), "regions")
+    start, cut = 0, []
+    for r in placed.groupBy("region").count().orderBy("region").collect():  # MOST_PIVOTS at most
+        parts = pieces(r["count"], SHARD_ROWS)
+        cut.append((r["region"], start, parts))
+        start += parts
+    regions = F.broadcast(spark.createDataFrame(cut, "region int, start int, parts int"))
+    shard = F.col("start") + F.pmod(F.xxhash64("vec_id", "v"), "parts")
+    return placed.join(regions, "region").select("vec_id", "v", shard.cast("int").alias("shard"))
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """vectors: vec_id, v; queries: query_id, v.  query_id, rank, vec_id, score: the k highest of each query."""
-    queries = queries.select(F.col("query_id").alias("query_id"), F.col("v").alias("q"))
-    n, n_queries = vectors.count(), queries.count()
-    shards, blocks = pieces(n, SHARD_ROWS), pieces(n_queries, BLOCK_QUERIES)
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)).cast("int"))
-    home = F.pmod(F.xxhash64("query_id", F.lit(2)), F.lit(shards)).cast("int")
-    copied = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    by = ["shard", "block"]
-    first = copied.groupBy(*by).cogroup(asked.withColumn("shard", home).groupBy(*by)).applyInPandas(_search(k), SCHEMA)
-    first = materialised(first, "first")
-    floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-    rest = asked.join(floors, "query_id", "left").withColumn("floor", F.coalesce(F.col("floor").cast("double"), F.lit(float("-inf"))))
-    rest = rest.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter(F.col("shard") != home)
-    more = copied.groupBy(*by).cogroup(rest.groupBy(*by)).applyInPandas(_search(k), SCHEMA)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = first.union(more).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    lean(vectors.sparkSession)
+    sizes = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
+    asked_sizes = queries.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
+    width = max(sizes["width"] or 0, asked_sizes["width"] or 0, 1)
+    padded = lambda c: F.concat(c, F.array_repeat(F.lit(0.0), F.lit(width) - F.size(c)))
+    dealt = _sharded(vectors.select("vec_id", padded("v").alias("v")), sizes["n"])
+    trees = materialised(dealt.groupBy("shard").applyInPandas(_build(width), "shard int, centre array<double>, radius double, tree binary"), "trees")
+    balls = trees.select("shard", "centre", "radius")
+    start = queries.select("query_id", padded("v").alias("q"), F.lit(float("-inf")).alias("floor"))
+    blocks = pieces(asked_sizes["n"], BLOCK_QUERIES)
+
+    def wave(pairs: DataFrame, name: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)).cast("int")
+        grouped = pairs.withColumn("block", block).groupBy("shard", "block").agg(F.collect_list(F.struct("query_id", "q", "floor")).alias("asked"))
+        found = grouped.join(trees.select("shard", "tree"), "shard").select("asked", "tree").mapInArrow(_searched(width, k), SCHEMA)
+        return materialised(found, name)
+
+    def ranked(found: DataFrame) -> DataFrame:
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+    def floors(found: DataFrame) -> DataFrame:
+        return ranked(found).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("now"))
+
+    lowest = F.lit(float("-inf"))
+    home = _bounds(start, balls, width, True).groupBy("query_id", "q", "floor").agg(F.max_by("shard", "bound").alias("shard"))
+    home = materialised(home, "home")
+    found = wave(home, "first")
+    known = start.drop("floor").join(floors(found), "query_id", "left").select("query_id", "q", F.coalesce("now", lowest).alias("floor"))
+    rest = _bounds(known, balls, width, False).join(home.select("query_id", "q", "shard"), ["query_id", "q", "shard"], "left_anti")
+    nth = F.row_number().over(Window.partitionBy("query_id", "q").orderBy(F.desc("bound"), "shard"))
+    rest = materialised(rest.withColumn("nth", nth), "rest")
+    found = found.unionByName(wave(rest.filter(F.col("nth") <= NEXT), "second"))
+    last = rest.filter(F.col("nth") > NEXT).join(floors(found), "query_id", "left").withColumn("floor", F.coalesce("now", lowest)).filter("bound >= floor")
+    found = found.unionByName(wave(last, "third"))
+    return ranked(found).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

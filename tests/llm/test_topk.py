@@ -28,7 +28,7 @@ def test_brute_force(spark, monkeypatch):
     df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, score int")
     want = brute(rows, 10, 5)
     assert run(df, 10, 5) == want
-    for name, value in {"SHARD_ROWS": 40, "BLOCK_QUERIES": 7, "LEAF_ROWS": 4}.items():
+    for name, value in {"SHARD_ROWS": 20, "BLOCK_QUERIES": 7, "LEAF_ROWS": 4, "MOST_PIVOTS": 6, "NEXT": 2, "BLOCK_SHARDS": 5}.items():
         monkeypatch.setattr(topk, name, value)
     assert run(df, 10, 5) == want
     assert run(df.filter("vec_id in (10, 20, 21)"), 10, 5) == brute([r for r in rows if r[0] in (10, 20, 21)], 10, 5)
