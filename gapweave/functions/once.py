@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame
 
 
 def once(df: DataFrame) -> DataFrame:
-    """df checkpointed to the shared folder of spark.checkpoint.dir; to a local one only where that is unset, as in tests."""
+    """df checkpointed to the shared folder of spark.checkpoint.dir; to a local one only where that is unset and the master is local, as in tests."""
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
     if not spark.sparkContext.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir isn't set; a cluster needs a shared folder there")
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()

@@ -735,6 +735,7 @@ class Source(Places):
             "kind": s["kind"], "start": a, "end": b, "compact": compact or joined, "multiline": not compact and not joined, "guard": bool(s.get("guard")), "jump": s.get("jump"),
             "case_body": bool(s.get("case_body")), "names": s.get("names") or [], "is_let": bool(s.get("is_let")), "reads": self.reads(i, e, s.get("root"), s.get("params")),
             "operation": s.get("operation"), "finally_ops": s.get("finally_ops") or [], "tag": s.get("tag", ""), "tail": s.get("tail"),
+            "word": s.get("tag") if s["kind"] == "Loop" else s["kind"].lower() if s["kind"] in ("If", "Return", "Switch", "Try", "Function") else None,
         }
 
     def attach(self, own: list[dict], opener: int, limit: int) -> None:

@@ -153,3 +153,15 @@ def batches(paths: DataFrame, key: str, budget: int = BATCH_BYTES) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*f.columns, pa.array(out, pa.int32())], names=[key, "ord", "path", "batch"])
 
     return sorted_rows.mapInArrow(go, schema)
+
+
+def repair_lines(findings: DataFrame, staged: DataFrame, folder: str, flags: str = "", tool: str = "gapweave") -> DataFrame:
+    """ord, line: how to mend staged files (path, unstaged, scoped: only some lines are staged) that have fixable findings; a line for each way."""
+    fixable = findings.filter("fixable").select("path").distinct()
+    kind = F.when(F.col("scoped"), 0).when(F.col("unstaged"), 1).otherwise(2)
+    names = F.array_join(F.transform(F.array_sort(F.collect_list("path")), lambda x: p.shell_word(x)), " ")
+    groups = staged.join(fixable, "path", "left_semi").groupBy(kind.alias("ord")).agg(names.alias("names"))
+    by_hand = F.concat(F.lit("fix the staged lines of these by hand and restage them with git add -p, --fix would change the whole file: "), "names")
+    both = F.concat(F.lit("these also have unstaged changes, fix them with --fix and restage by hand: "), "names")
+    command = F.concat(F.lit("fix and restage with: cd "), p.shell_word(F.lit(folder)), F.lit(f" && {tool} --fix{flags} -- "), "names", F.lit(" && git --literal-pathspecs add -- "), "names")
+    return groups.select("ord", F.when(F.col("ord") == 0, by_hand).when(F.col("ord") == 1, both).otherwise(command).alias("line"))

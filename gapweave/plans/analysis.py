@@ -89,9 +89,8 @@ def findings(files: DataFrame, marker: str = "gapweave", **settings) -> DataFram
     gaps = every
     n = lambda c: F.col(f"next.{c}")
     wrong = ((F.col("want") == "none") & (F.col("blanks") > 0) & ~n("detached")) | ((F.col("want") == "some") & (F.col("blanks") == 0) & (n("start_line") > F.col("prev.end_line")))
-    word = F.when(n("kind") == "Loop", F.lit("loop")).otherwise(F.lower(n("kind")))
     says = F.create_map(*[F.lit(x) for kv in MESSAGES.items() for x in kv])
-    message = F.when(F.col("joined_by").isNotNull(), F.format_string(JOIN, "joined_by", word)).otherwise(F.try_element_at(says, F.col("rule")))
+    message = F.when(F.col("joined_by").isNotNull(), F.format_string(JOIN, "joined_by", n("word"))).otherwise(F.try_element_at(says, F.col("rule")))
     gaps = gaps.filter("next.touched")
     spaced = gaps.filter(wrong).select("path", n("at_line").alias("line"), n("at_col").alias("col"), "rule", message.alias("message"), F.lit(True).alias("fixable"))
     tight = sp.tight_blocks(gaps).filter(~F.coalesce((n("kind") == "Try") & F.array_contains(n("finally_ops"), F.col("prev.operation")), F.lit(False)))
@@ -115,3 +114,8 @@ def fixed(files: DataFrame, marker: str = "gapweave", **settings) -> DataFrame:
     mark = F.substring(F.coalesce("text", F.lit("")), 1, 1) == "\ufeff"
     marked = files.select("path", mark.alias("_mark"))
     return g.applied(rows, edits).join(marked, "path").select("path", F.when(F.col("_mark"), F.concat(F.lit("\ufeff"), "text")).otherwise(F.col("text")).alias("text"))
+
+
+def remaining(fixed_files: DataFrame, marker: str = "gapweave", **settings) -> DataFrame:
+    """Findings that fix mode leaves, at their places in the fixed text: those that can't be fixed, and failures."""
+    return findings(fixed_files, marker, **settings).filter(~F.col("fixable"))

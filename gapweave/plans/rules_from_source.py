@@ -20,7 +20,7 @@ AFTER, BEFORE = "remove the blank line right after `{`", "remove the blank line
 LOOP = "for (const x of xs) {\n  n += x;\n  t(n);\n}\n"
 SHAPES: list[tuple[str, str, list, str, list, str]] = [
     ("function f() {\n  a();\n", "  b();\n}\n", [], "", [(4, 3, "short-body", SAYS["short-body"], True)], "function f() {\n  a();\n  b();\n}\n"),
-    ("let n = 0;\n", LOOP, [], "", [(3, 1, "use-join", JOIN % ("n", "loop"), True)], "let n = 0;\n" + LOOP),
+    ("let n = 0;\n", LOOP, [], "", [(3, 1, "use-join", JOIN % ("n", "for"), True)], "let n = 0;\n" + LOOP),
     ("g();\nh();\nk();\nconst r = a.b;\n", "return r;\n", [], "", [(6, 1, "consume-join", JOIN % ("r", "return"), True)], "g();\nh();\nk();\nconst r = a.b;\nreturn r;\n"),
     ("const r = q();\n", "if (!r) stop();\ng();\n", [], "", [(3, 1, "guard-join", JOIN % ("r", "if"), True)], "const r = q();\nif (!r) stop();\ng();\n"),
     ("switch (k) {\n  case 1: a(); break;\n", "  case 2: b(); break;\n}\n", [(3, 3, "switch-clauses", SAYS["switch-clauses"], True)], "switch (k) {\n  case 1: a(); break;\n\n  case 2: b(); break;\n}\n", [], ""),

@@ -12,7 +12,7 @@ from ..functions import syntax
 
 STATEMENT = (
     "list_id int, idx int, list_kind string, kind string, line int, col int, start_line int, end_line int, multiline boolean, compact boolean, guard boolean, jump string, "
-    "case_body boolean, names array<string>, is_let boolean, reads array<string>, detached boolean, commented boolean, frozen boolean, blanks int, operation string, finally_ops array<string>, at_line int, at_col int, touched boolean"
+    "case_body boolean, names array<string>, is_let boolean, reads array<string>, detached boolean, commented boolean, frozen boolean, blanks int, operation string, finally_ops array<string>, at_line int, at_col int, touched boolean, word string"
 )
 LIST = "list_id int, braced boolean, open_line int, first_line int, last_line int, close_line int, first_touched boolean, last_touched boolean"
 PARSED = f"path string, error string, text string, braces array<struct<line: int, col: int>>, origin array<int>, changed array<int>, deleted array<int>, stmts array<struct<{STATEMENT.replace(' ', ':').replace(',:', ', ')}>>, lists array<struct<{LIST.replace(' ', ':').replace(',:', ', ')}>>"
