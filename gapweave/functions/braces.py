@@ -134,6 +134,44 @@ class Remover:
                 return "fuse"
         return None
 
+    def reason(self, brace: int, why: str, at) -> str:
+        """In words; `at` gives the line in the file of an offset."""
+        s, text = self.s, self.text
+        a, z = s.t.start[brace], s.t.end[s.m[brace]]
+        own, count = s.held[a]
+        if why == "count":
+            return "the body holds %d statements" % count if count else "the body is empty"
+        if why == "statement":
+            return f"the body is {self.named(own[0]) if own else 'an empty statement'}, and only an expression, `return`, `throw`, `break`, `continue`, `if` or loop stands without braces"
+        after = self.after(brace)
+        if why == "continues":
+            line = self.line(after)
+            place = "the same line" if line == self.line(z - 1) else f"line {at(after)}"
+            head = text[own[0]["start"] : own[0]["end"]].split("\n")[0].strip(JS_SPACE)
+            return f"`{head}` has no semicolon, so without braces it could continue onto `{text[after : self.bounds(line)[1]].strip(JS_SPACE)}` on {place}"
+        if why == "closer":
+            return f"the closing brace on line {at(z - 1)} shares its line with the `}}` after it, which would be left behind without it"
+        if why == "comment":
+            first = next(x for x, y in s.t.comments[bisect_left(s.c_start, a + 1) :] if x < own[0]["start"] or y > own[0]["end"])
+            return f"a comment on line {at(first)} sits inside the braces but outside the statement"
+        if why == "closing":
+            return f"a comment after the closing brace on line {at(s.c_start[bisect_left(s.c_start, z)])} would move onto the next line without it"
+        if why == "else":
+            return f"without braces, the `else` on line {at(after)} would attach to the `if` inside them"
+        return "removing the braces would run two words together"
+
+    def named(self, own: dict) -> str:
+        """What a statement is called."""
+        text = self.text[own["start"] : own["end"]]
+        if own["tag"] == "label":
+            return "a labeled statement"
+        if text.startswith("{"):
+            return "a nested block"
+        n = 0
+        while n < len(text) and text[n].isascii() and (text[n].isalnum() or text[n] in "_$"):
+            n += 1
+        return f"a `{text[:n]}` statement" if n else "a class declaration" if "class" in text.split("{")[0] else "a statement"
+
     # all of them
     def run(self, eligible: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, str]], list[int]]:
         """Edits in order, and the offsets of the braces that they remove.  eligible: brace token, header and owner, inner ones first."""
@@ -321,3 +359,40 @@ def through(backs: list[Moved], offset: int) -> int:
     for m in reversed(backs):
         offset = m.back(offset)
     return offset
+
+
+def explained(text: str, extension: str, marker: str, columns: int, tab: int, ruler: str, remove: bool = True) -> dict:
+    """blocks: for each pair of braces that an if, else or loop controls its lines (open, close, owner, first and last of a single statement) and what becomes
+    of it: removed (after how many rounds), covered by a directive, not meant by the rule, kept or free to go, and why.  off: lines of regions that are off."""
+    read = lambda t: Source(t, extension not in NO_JSX, marker, columns, tab, ruler)
+    first = s = read(text)
+    rounds: list[tuple[Moved, set[int]]] = []
+    while remove:
+        edits, gone = Remover(s, columns, tab, ruler).run(s.eligible)
+        if not edits:
+            break
+        rounds.append((Moved(edits), set(gone)))
+        s = read(applied(s.src, edits))
+    at = lambda offset: first.line(through([m for m, _ in rounds], offset))
+    last = Remover(s, columns, tab, ruler)
+    left = {s.t.start[e[0]]: e[0] for e in s.eligible}
+    blocks = []
+    for brace, _, owner in first.controlled:
+        a, z = first.t.start[brace], first.t.end[first.m[brace]]
+        own, count = first.held[a]
+        one = own[0] if count == 1 and own else None
+        state, why, offset = None, None, a
+        for n, (moved, gone) in enumerate(rounds):
+            if offset in gone:
+                state, why = "removed", str(n)
+                break
+            offset = moved.forward(offset)
+        if state is None:
+            if offset not in left:
+                state = "directive"
+            else:
+                hold = last.hold(left[offset])
+                state = "free" if hold is None else "inapplicable" if hold == "count" else "kept"
+                why = hold and last.reason(left[offset], hold, at)
+        blocks.append({"open": first.line(a), "close": first.line(z - 1), "owner": first.line(owner), "first": one and first.line(one["start"]), "last": one and first.line(one["end"] - 1), "state": state, "why": why})
+    return {"blocks": blocks, "off": [{"first": first.line(a), "last": first.line(max(b - 1, a))} for a, b in first.regions]}

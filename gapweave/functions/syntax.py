@@ -200,6 +200,9 @@ class Source(Places):
         self.tab, self.ruler, self.empty = tab, ruler, 0
         #: Blocks that an if, else or loop controls: token of the brace, offsets of header and owner; inner ones first.
         self.eligible: list[tuple[int, int, int]] = []
+        #: All of them, also those that directives cover; and the regions that are off.
+        self.controlled: list[tuple[int, int, int]] = []
+        self.regions: list[tuple[int, int]] = []
         #: By offset of its brace: statements of a block, and how many there are with empty ones.
         self.held: dict[int, tuple[list[dict], int]] = {}
         #: Offsets of alternates and labelled statements, by owner: an ignored owner passes that on to them.
@@ -274,6 +277,7 @@ class Source(Places):
     def control(self, brace: int, header: int, owner: int) -> None:
         if self.w(brace) == "{":
             self.eligible.append((brace, self.t.start[header], self.t.start[owner]))
+            self.controlled.append(self.eligible[-1])
 
     def head(self, owner: int) -> int:
         """Where the chain of ifs that an owner belongs to starts."""
@@ -715,6 +719,7 @@ class Source(Places):
                 else:
                     regions.append((first, a))
         regions += [(first, home[1]) for home, (first, _) in opened.items()]
+        self.regions = regions
         held = lambda x: any(a <= x < b for a, b in regions)
         self.eligible = [x for x in self.eligible if not held(self.t.start[x[0]]) and not held(self.t.end[self.m[x[0]]] - 1)]
         gone = {y["list_id"] for y in self.lists[1:] if held(y["start"])}
@@ -725,16 +730,19 @@ class Source(Places):
         e = s["end"]
         a, b = self.t.start[i], self.t.end[e - 1]
         compact = self.line(a) == self.line(b - 1)
-        joined = False
+        joined, widest = False, None
         if not compact and s.get("arms"):
             texts = [self.arm(*x) for x in s["arms"]]
             prefix = self.src[self.starts[self.line(a) - 1] : a]
             indent = prefix[: len(prefix) - len(prefix.lstrip(JS_SPACE))]
-            joined = None not in texts and max(measure((indent if n else prefix) + x, self.ruler, self.tab) for n, x in enumerate(texts)) <= self.columns
+            if None not in texts:
+                widest = max(measure((indent if n else prefix) + x, self.ruler, self.tab) for n, x in enumerate(texts))
+                joined = widest <= self.columns
         return {
             "kind": s["kind"], "start": a, "end": b, "compact": compact or joined, "multiline": not compact and not joined, "guard": bool(s.get("guard")), "jump": s.get("jump"),
             "case_body": bool(s.get("case_body")), "names": s.get("names") or [], "is_let": bool(s.get("is_let")), "reads": self.reads(i, e, s.get("root"), s.get("params")),
             "operation": s.get("operation"), "finally_ops": s.get("finally_ops") or [], "tag": s.get("tag", ""), "tail": s.get("tail"),
+            "joined_columns": widest, "joined_arms": len(s["arms"]) if widest is not None else None,
             "word": s.get("tag") if s["kind"] == "Loop" else s["kind"].lower() if s["kind"] in ("If", "Return", "Switch", "Try", "Function") else None,
         }
 
@@ -791,15 +799,16 @@ def deeply(work: Callable[[], None]) -> None:
         raise failed[0]
 
 
-def analyse(text: str | None, extension: str = "ts", marker: str = "gapweave", columns: int = COLUMNS, tab: int = TAB, ruler: str = "prettier", braces: bool = False, lines: list[int] | None = None, deleted: list[int] | None = None) -> dict:
+def analyse(text: str | None, extension: str = "ts", marker: str = "gapweave", columns: int = COLUMNS, tab: int = TAB, ruler: str = "prettier", braces: bool = False, lines: list[int] | None = None, deleted: list[int] | None = None, explain: bool = False) -> dict:
     """error (None if the text could be read), stmts and lists as dicts; with `braces`, of the text without the braces that may go.
 
     Then also text (without those braces and without byte order mark), braces (line and column of each in the text given), and origin (by line, the one
     it was); stmts have at_line and at_col, where they were.  With changed lines (and lines after which something was deleted) only braces in their reach go;
     stmts and lists tell what they touch: `touched` of the gap above a statement, `first_touched` and `last_touched` of the edges of a list, and `changed`
-    and `deleted` are those of the new text.
+    and `deleted` are those of the new text.  With `explain` blocks tell
+    what becomes of each pair of braces and why, and off holds the first and last lines of regions that are off.
     """
-    from .braces import Changes, settled, through  # it reads with Source
+    from .braces import Changes, explained, settled, through  # it reads with Source
 
     plain = (text or "").removeprefix("\ufeff")
     got: list = []
@@ -829,4 +838,4 @@ def analyse(text: str | None, extension: str = "ts", marker: str = "gapweave", c
     return {
         "error": None, "stmts": s.stmts, "lists": s.lists, "text": s.src, "braces": [{"line": first.line(x), "col": first.column(x)} for x in gone],
         "origin": [first.line(through(backs, x)) for x in s.starts] if backs else [], "changed": now and now.lines, "deleted": now and now.deleted,
-    }
+    } | (explained(plain, extension, marker, columns, tab, ruler, braces) if explain else {})

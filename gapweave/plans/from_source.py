@@ -7,7 +7,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank, lines
 from ..operators import reporting, spacing
 from . import analysis
 from .kernels import kernel
@@ -53,17 +52,6 @@ def g3_walls(t) -> DataFrame:
     return spacing.walls(s).select(F.col("path").alias("user_id"), F.col("idx").alias("event_id"), "size")
 
 
-@kernel("""WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), e AS (SELECT doc_id, len(l) AS n, unnest(l) AS t, generate_subscripts(l, 1) AS line FROM s)
-SELECT doc_id, CAST(line AS INTEGER) AS line FROM e WHERE regexp_full_match(t, '[\\s\\x{00A0}\\x{FEFF}\\x{000B}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]*') AND (line IN (2, 3) AND 4 <= n OR line = n - 1 AND n > 4)""")
-def g6_edges(t) -> DataFrame:
-    docs = t("documents").select(F.col("doc_id").alias("path"), "text")
-    size = F.size(F.split("text", "\n", -1))
-    lists = docs.select("path", F.lit(0).alias("list_id"), F.lit(True).alias("braced"), F.lit(1).alias("open_line"), F.lit(4).alias("first_line"), (size - 2).alias("last_line"), size.alias("close_line")).filter("close_line >= 4")
-    lists = lists.withColumn("last_line", F.when(F.col("close_line") > 4, F.col("last_line")).otherwise(F.col("close_line")))
-    rows = lines(docs, "path", "text").withColumn("blank", is_blank("line_text"))
-    return spacing.blank_edges(lists, rows).select(F.col("path").alias("doc_id"), "line")
-
-
 @kernel("""SELECT o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_linenumber >= 2 AND CASE WHEN l.l_returnflag = 'N' THEN l.l_linenumber <= 4 ELSE l.l_linenumber < 4 END)""")
 def f10_in_scope(t) -> DataFrame:
     found = t("orders").select(F.col("o_orderkey").alias("path"), F.lit(2).alias("a"), F.lit(4).alias("b"))

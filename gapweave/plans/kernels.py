@@ -67,9 +67,6 @@ def j3_range_semi(t) -> DataFrame:
     return rel.touched(spans, points, "k", "a", "b", "x").select(F.col("k").alias("o_orderkey"))
 
 
-@kernel("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def j1_anti(t) -> DataFrame:
-    return t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 @kernel("SELECT conv_id, role, min(turn) AS first, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id, role")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import diffs
-from . import analysis
+from . import analysis, explain
 from .kernels import kernel
 
 B = "\n"
@@ -108,3 +108,14 @@ def g15_changed_lines(t) -> DataFrame:
     head = F.format_string("@@ -1,%d +%d,%d @@", n("A"), first, n("R"))
     parts = rows.select(F.format_string("o%d", "l_orderkey").alias("path"), F.concat(F.array(F.lit("diff --git a/x b/x"), head), body).alias("rows"))
     return diffs.changed(parts)
+
+
+@kernel("""WITH s AS (SELECT s_suppkey AS k, s_acctbal > 5000 AS blank FROM supplier), g AS (SELECT *, CASE WHEN blank THEN 3 ELSE 2 END AS line FROM s)
+SELECT 's' || k || '.ts' AS path, CAST(line AS INTEGER) AS line, 's' || k || '.ts:' || line || chr(10) || chr(10) || 'gap above line ' || line || CASE WHEN blank THEN ', 1 blank line' ELSE ', no blank lines' END || chr(10) || '  1        if (a) return;' || chr(10) || '  ' || line || '        b();' || chr(10)
+|| 'rule:      after-guard, wants a blank line' || chr(10) || 'because:   the guard on line 1 ends in `return`, so the next statement starts a new step' || chr(10) || 'outranked: none' || chr(10) || 'result:    ' || CASE WHEN blank THEN 'already has a blank line' ELSE '--fix adds a blank line' END AS text FROM g
+UNION ALL SELECT 's' || k || '.ts', 1, 's' || k || '.ts:1: no gap ends and no braced body starts on this line' FROM g
+UNION ALL SELECT 's' || k || '.ts', 9, 's' || k || '.ts has ' || line || ' lines, not 9' FROM g""")
+def x1_explained(t) -> DataFrame:
+    blank = F.col("s_acctbal") > 5000
+    files = t("supplier").select(F.format_string("s%d.ts", "s_suppkey").alias("path"), F.when(blank, "if (a) return;\n\nb();\n").otherwise("if (a) return;\nb();\n").alias("text"), F.explode(F.array(F.lit(1), F.lit(9), F.when(blank, 3).otherwise(2))).alias("line"))
+    return explain.explained(files.select("path", "text").distinct(), files.select("path", "line")).select("path", "line", "text")

@@ -12,14 +12,15 @@ from ..functions import syntax
 
 STATEMENT = (
     "list_id int, idx int, list_kind string, kind string, line int, col int, start_line int, end_line int, multiline boolean, compact boolean, guard boolean, jump string, "
-    "case_body boolean, names array<string>, is_let boolean, reads array<string>, detached boolean, commented boolean, frozen boolean, blanks int, operation string, finally_ops array<string>, at_line int, at_col int, touched boolean, word string"
+    "case_body boolean, names array<string>, is_let boolean, reads array<string>, detached boolean, commented boolean, frozen boolean, blanks int, operation string, finally_ops array<string>, at_line int, at_col int, touched boolean, word string, joined_columns int, joined_arms int"
 )
 LIST = "list_id int, braced boolean, open_line int, first_line int, last_line int, close_line int, first_touched boolean, last_touched boolean"
 PARSED = f"path string, error string, text string, braces array<struct<line: int, col: int>>, origin array<int>, changed array<int>, deleted array<int>, stmts array<struct<{STATEMENT.replace(' ', ':').replace(',:', ', ')}>>, lists array<struct<{LIST.replace(' ', ':').replace(',:', ', ')}>>"
+EXPLAINED = ", blocks array<struct<open: int, close: int, owner: int, first: int, last: int, state: string, why: string>>, off array<struct<first: int, last: int>>"
 ROWS = 64
 
 
-def parsed(files: DataFrame, marker: str = "gapweave", columns: int = syntax.COLUMNS, tab: int = syntax.TAB, ruler: str = "prettier", braces: bool = True) -> DataFrame:
+def parsed(files: DataFrame, marker: str = "gapweave", columns: int = syntax.COLUMNS, tab: int = syntax.TAB, ruler: str = "prettier", braces: bool = True, explain: bool = False) -> DataFrame:
     """path, error, text, braces, origin, stmts, lists of each row of files (path, text); a null text is an empty one.
 
     With `braces`, text is the one without the braces that may go, stmts and lists are its own, braces are those removed and origin tells, by line, where
@@ -30,7 +31,8 @@ def parsed(files: DataFrame, marker: str = "gapweave", columns: int = syntax.COL
     fields = {"stmts": [x.split()[0] for x in STATEMENT.split(", ")], "lists": [x.split()[0] for x in LIST.split(", ")]}
 
     settings = {"columns": columns, "tab": tab, "ruler": ruler, "braces": braces}
-    schema = to_arrow_schema(StructType.fromDDL(PARSED))
+    ddl = PARSED + (EXPLAINED if explain else "")
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
 
     def go(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -41,11 +43,11 @@ def parsed(files: DataFrame, marker: str = "gapweave", columns: int = syntax.COL
                     path = row["path"]
                     own = [default if row.get(k) is None else row[k] for k, default in settings.items()]
                     extension = (path or "").rpartition(".")[2].lower()
-                    found = syntax.analyse(row["text"], extension if extension in syntax.EXTENSIONS and "." in path else "ts", marker, *own, row.get("lines"), row.get("deleted"))
-                    rows.append({"path": path} | {k: found[k] for k in ("error", "text", "braces", "origin", "changed", "deleted")} | {k: [{f: s.get(f) for f in names} for s in found[k]] for k, names in fields.items()})
+                    found = syntax.analyse(row["text"], extension if extension in syntax.EXTENSIONS and "." in path else "ts", marker, *own, row.get("lines"), row.get("deleted"), explain)
+                    rows.append({"path": path} | {k: found[k] for k in ("error", "text", "braces", "origin", "changed", "deleted")} | ({k: found.get(k, []) for k in ("blocks", "off")} if explain else {}) | {k: [{f: s.get(f) for f in names} for s in found[k]] for k, names in fields.items()})
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.select("path", "text", *[k for k in (*settings, "lines", "deleted") if k in files.columns]).mapInArrow(go, PARSED)
+    return files.select("path", "text", *[k for k in (*settings, "lines", "deleted") if k in files.columns]).mapInArrow(go, ddl)
 
 
 def statements(read: DataFrame) -> DataFrame:
