@@ -245,13 +245,14 @@ class Source(Places):
         for at, s in enumerate(own):
             s |= {"list_id": number, "idx": at, "list_kind": kind}
         self.stmts += own
-        open_line, close_line = self.line(start), self.line(max(limit - 1, 0))
-        if brace is not None and own:  # comments that share the opening line belong to it
+        first_line, close_line = self.line(start), self.line(max(limit - 1, 0))
+        open_line = first_line
+        if brace is not None:  # comments that share the opening line belong to it
             for a, b in self.t.comments[bisect_right(self.c_start, start) :]:
-                if self.line(a) != open_line or a >= limit:
+                if self.line(a) != first_line or a >= limit:
                     break
-                open_line = max(open_line, self.line(b - 1))
-        self.lists[number] = {"list_id": number, "braced": brace is not None, "open_line": open_line, "start": start, "limit": limit, "first_line": next((x for x in own[0]["tops"] if x > open_line), own[0]["line"]) if own else None, "last_line": own[-1]["bottom_line"] if own else None, "close_line": close_line}
+                open_line = self.line(b - 1)
+        self.lists[number] = {"list_id": number, "braced": brace is not None, "open_line": open_line, "start": start, "limit": limit, "first_line": next((x for x in own[0]["tops"] if x > open_line), own[0]["line"]) if own else None, "last_line": own[-1]["bottom_line"] if own else None, "close_line": close_line, "start_line": first_line, "own": own}
         self.depth -= 1
         return own
 
@@ -724,7 +725,9 @@ class Source(Places):
         self.eligible = [x for x in self.eligible if not held(self.t.start[x[0]]) and not held(self.t.end[self.m[x[0]]] - 1)]
         gone = {y["list_id"] for y in self.lists[1:] if held(y["start"])}
         self.lists = [y for y in self.lists if y["list_id"] not in gone]
-        self.stmts = [s | {"frozen": s["frozen"] or held(s["start"])} for s in self.stmts if s["list_id"] not in gone]
+        self.stmts = [s for s in self.stmts if s["list_id"] not in gone]
+        for s in self.stmts:  # lists hold the same dicts
+            s["frozen"] = s["frozen"] or held(s["start"])
 
     def finished(self, s: dict, i: int) -> dict:
         e = s["end"]
@@ -746,6 +749,26 @@ class Source(Places):
             "word": s.get("tag") if s["kind"] == "Loop" else s["kind"].lower() if s["kind"] in ("If", "Return", "Switch", "Try", "Function") else None,
         }
 
+    def blank_lines(self, after: int, before: int) -> list[int]:
+        return [n for n in range(after + 1, before) if not self.lines[n - 1].strip(JS_SPACE)]
+
+    def edges(self, y: dict, touch: Callable[[int, int], bool]) -> list[tuple[int, bool]]:
+        """Blank lines right inside the braces of a list, but for those beside a statement to be ignored or in a region that is off; and whether they are at its start."""
+        if not y["braced"] or y["open_line"] == y["close_line"] or y["start_line"] == y["close_line"]:
+            return []
+        inside = self.t.comments[bisect_right(self.c_start, y["start"]) : bisect_right(self.c_start, y["limit"] - 1)]
+        later = [c for c in inside if self.line(c[0]) > y["open_line"]]
+        own = y["own"]
+        first = min(own[0]["start_line"] if own else y["close_line"], self.line(later[0][0]) if later else y["close_line"])
+        last = max(own[-1]["end_line"] if own else y["open_line"], self.line(later[-1][1] - 1) if later else y["open_line"])
+        out: dict[int, bool] = {}
+        for a, b, at_start, edge in ((y["open_line"], first, True, own[:1]), (last, y["close_line"], False, own[-1:])):
+            if touch(a, b) and not any(s["frozen"] for s in edge):
+                for n in self.blank_lines(a, b):
+                    if not any(x <= self.starts[n - 1] < z for x, z in self.regions):
+                        out.setdefault(n, at_start)
+        return list(out.items())
+
     def attach(self, own: list[dict], opener: int, limit: int) -> None:
         """Lines of each statement with the comments that belong to it."""
         before, marks, above = opener, self.t.comments, None
@@ -770,7 +793,8 @@ class Source(Places):
             frozen = bool(lead) and not detached and any(self.directive(a, b) == "ignore" for a, b in lead) and first - ends[-1] <= 1
             s |= {"line": first, "col": self.column(s["start"]), "start_line": first if detached else tops[0], "end_line": self.line(end - 1), "tops": tops, "bottom_line": self.line(end - 1), "detached": detached, "frozen": frozen}
             s["commented"] = tops[0] < first
-            s["blanks"] = sum(not self.lines[n - 1].strip(JS_SPACE) for n in range(above + 1, s["start_line"])) if above else 0
+            s["blank_lines"] = self.blank_lines(above, s["start_line"]) if above else []
+            s["blanks"] = len(s["blank_lines"])
             before, above = end, s["end_line"]
 
 
@@ -804,8 +828,7 @@ def analyse(text: str | None, extension: str = "ts", marker: str = "gapweave", c
 
     Then also text (without those braces and without byte order mark), braces (line and column of each in the text given), and origin (by line, the one
     it was); stmts have at_line and at_col, where they were.  With changed lines (and lines after which something was deleted) only braces in their reach go;
-    stmts and lists tell what they touch: `touched` of the gap above a statement, `first_touched` and `last_touched` of the edges of a list, and `changed`
-    and `deleted` are those of the new text.  With `explain` blocks tell
+    stmts tell whether the gap above is touched, lists give the blank lines of touched edges, and `changed` and `deleted` are those of the new text.  With `explain` blocks tell
     what becomes of each pair of braces and why, and off holds the first and last lines of regions that are off.
     """
     from .braces import Changes, explained, settled, through  # it reads with Source
@@ -828,10 +851,9 @@ def analyse(text: str | None, extension: str = "ts", marker: str = "gapweave", c
     for x in s.stmts:
         x["touched"] = x["list_id"] in before and touch(before[x["list_id"]], x["end_line"])
         before[x["list_id"]] = x["start_line"]
-    for y in s.lists:
-        if y["first_line"] is not None:
-            y |= {"first_touched": touch(y["open_line"], y["first_line"]), "last_touched": touch(y["last_line"], y["close_line"])}
     first = Places(plain) if backs else s
+    for y in s.lists:
+        y["edges"] = [{"line": n, "at_line": first.line(through(backs, s.starts[n - 1])), "at_start": side} for n, side in s.edges(y, touch)]
     for x in s.stmts:
         at = through(backs, x["start"])
         x |= {"at_line": first.line(at), "at_col": first.column(at)} if backs else {"at_line": x["line"], "at_col": x["col"]}

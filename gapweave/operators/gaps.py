@@ -5,6 +5,8 @@ array<string>, reads array<string>, detached, frozen.  Blank lines between two s
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +57,35 @@ def line_edits(gaps: DataFrame, lines: DataFrame) -> DataFrame:
     return delete.unionByName(insert)
 
 
+def gap_edits(gaps: DataFrame) -> DataFrame:
+    """The same from gaps whose next statement lists the blank lines above it (blank_lines); no join with lines."""
+    n = lambda c: F.col(f"next.{c}")
+    delete = gaps.filter((F.col("want") == "none") & ~n("detached")).select("path", F.explode("next.blank_lines").alias("line"), F.lit("delete").alias("op"), "rule")
+    insert = gaps.filter((F.col("want") == "some") & (F.size("next.blank_lines") == 0) & (n("start_line") > F.col("prev.end_line")))
+    return delete.unionByName(insert.select("path", (n("start_line") - 1).alias("line"), F.lit("insert_after").alias("op"), "rule"))
+
+
+def edited(files: DataFrame, edits: DataFrame) -> DataFrame:
+    """path, text: files (path, text) with their edits (path, line, op) made; one join, and a pass over each text."""
+    of = lambda op: F.collect_set(F.when(F.col("op") == op, F.col("line"))).alias(op)
+    both = files.select("path", "text").join(edits.groupBy("path").agg(of("delete"), of("insert_after")), "path", "left")
+
+    def go(frames: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for f in frames:
+            texts = []
+            for text, gone, new in zip(*(f.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                if not gone and not new:
+                    texts.append(text)
+                    continue
+                cut, add = set(gone), set(new)
+                texts.append("\n".join(x for i, line in enumerate(text.split("\n"), 1) for x in ([] if i in cut else [line]) + (["\r" if line.endswith("\r") else ""] if i in add else [])))
+            yield pa.RecordBatch.from_arrays([f.column(0), pa.array(texts, pa.string())], names=["path", "text"])
+
+    return both.mapInArrow(go, "path string, text string")
+
+
 def applied(lines: DataFrame, edits: DataFrame) -> DataFrame:
     """path, text: lines (path, line, line_text) without the deleted ones, with the inserted ones, joined again."""
     gone = edits.filter("op = 'delete'").select("path", "line").distinct()

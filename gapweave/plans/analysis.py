@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.once import once
-from ..functions.text import is_blank, lines
 from ..operators import gaps as g
 from ..operators import spacing as sp
 from ..sources import statements as st
@@ -75,17 +74,16 @@ def with_changes(files: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def _parts(files: DataFrame, marker: str, settings: dict):
-    read = once(st.parsed(files, marker, **settings))
+    """What the pass read, once, dealt by path: every window and join behind it is on the path, so nothing is shuffled again."""
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    read = once(st.parsed(files, marker, **settings).repartition(n, "path"))
     stmts = st.statements(read)
-    gaps = settled(stmts)
-    rows = lines(read.select("path", "text"), "path", "text").withColumn("blank", is_blank("line_text"))
-    edges = sp.blank_edges(st.lists(read), rows)
-    return read, stmts, gaps, rows, edges
+    return read, stmts, settled(stmts)
 
 
 def findings(files: DataFrame, marker: str = "gapweave", **settings) -> DataFrame:
     """path, line, col, rule, message, fixable of every finding, at its place in the file; a file that can't be read gives a single `parse`."""
-    read, stmts, every, rows, edges = _parts(files, marker, settings)
+    read, stmts, every = _parts(files, marker, settings)
     gaps = every
     n = lambda c: F.col(f"next.{c}")
     wrong = ((F.col("want") == "none") & (F.col("blanks") > 0) & ~n("detached")) | ((F.col("want") == "some") & (F.col("blanks") == 0) & (n("start_line") > F.col("prev.end_line")))
@@ -96,9 +94,7 @@ def findings(files: DataFrame, marker: str = "gapweave", **settings) -> DataFram
     tight = sp.tight_blocks(gaps).filter(~F.coalesce((n("kind") == "Try") & F.array_contains(n("finally_ops"), F.col("prev.operation")), F.lit(False)))
     tight = tight.select("path", n("at_line").alias("line"), n("at_col").alias("col"), F.lit("block-spacing").alias("rule"), F.lit(MESSAGES["block-spacing"]).alias("message"), F.lit(False).alias("fixable"))
     walls = _touched(_walls(stmts, every), read).select("path", "line", "col", F.lit("wall").alias("rule"), F.format_string(WALL, F.col("size")).alias("message"), F.lit(False).alias("fixable"))
-    opening = st.lists(read).select("path", "list_id", "first_line").join(read.select("path", "origin"), "path")
-    was = F.coalesce(F.get("origin", F.col("line") - 1), F.col("line"))
-    side = edges.join(opening, ["path", "list_id"]).select("path", was.cast("int").alias("line"), F.lit(1).alias("col"), F.lit("edge-blank").alias("rule"), F.when(F.col("line") < F.col("first_line"), AFTER).otherwise(BEFORE).alias("message"), F.lit(True).alias("fixable"))
+    side = st.edges(read).select("path", F.col("at_line").alias("line"), F.lit(1).alias("col"), F.lit("edge-blank").alias("rule"), F.when(F.col("at_start"), AFTER).otherwise(BEFORE).alias("message"), F.lit(True).alias("fixable"))
     failed = read.filter("error is not null").select("path", F.lit(1).alias("line"), F.lit(1).alias("col"), F.lit("parse").alias("rule"), F.col("error").alias("message"), F.lit(False).alias("fixable"))
     gone = read.select("path", F.inline("braces")).select("path", "line", "col", F.lit("braces").alias("rule"), F.lit(MESSAGES["braces"]).alias("message"), F.lit(True).alias("fixable"))
     out = spaced
@@ -109,11 +105,11 @@ def findings(files: DataFrame, marker: str = "gapweave", **settings) -> DataFram
 
 def fixed(files: DataFrame, marker: str = "gapweave", **settings) -> DataFrame:
     """path, text of every file with its braces and blank lines set right; a file that can't be read stays as it is."""
-    read, _, gaps, rows, edges = _parts(files, marker, settings)
-    edits = g.line_edits(gaps.filter("next.touched"), rows).select("path", "line", "op").unionByName(edges.select("path", F.col("line").cast("int"), F.lit("delete").alias("op")))
+    read, _, gaps = _parts(files, marker, settings)
+    edits = g.gap_edits(gaps.filter("next.touched")).select("path", "line", "op").unionByName(st.edges(read).select("path", "line", F.lit("delete").alias("op")))
     mark = F.substring(F.coalesce("text", F.lit("")), 1, 1) == "\ufeff"
-    marked = files.select("path", mark.alias("_mark"))
-    return g.applied(rows, edits).join(marked, "path").select("path", F.when(F.col("_mark"), F.concat(F.lit("\ufeff"), "text")).otherwise(F.col("text")).alias("text"))
+    marked = files.filter(mark).select("path", F.lit(True).alias("_mark"))
+    return g.edited(read, edits).join(marked, "path", "left").select("path", F.when(F.col("_mark"), F.concat(F.lit("\ufeff"), "text")).otherwise(F.col("text")).alias("text"))
 
 
 def remaining(fixed_files: DataFrame, marker: str = "gapweave", **settings) -> DataFrame:

@@ -1,6 +1,7 @@
 """Source files as tables: one Arrow pass over (path, text) reads each file once; everything after it is plain DataFrame work."""
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -12,10 +13,11 @@ from ..functions import syntax
 
 STATEMENT = (
     "list_id int, idx int, list_kind string, kind string, line int, col int, start_line int, end_line int, multiline boolean, compact boolean, guard boolean, jump string, "
-    "case_body boolean, names array<string>, is_let boolean, reads array<string>, detached boolean, commented boolean, frozen boolean, blanks int, operation string, finally_ops array<string>, at_line int, at_col int, touched boolean, word string, joined_columns int, joined_arms int"
+    "case_body boolean, names array<string>, is_let boolean, reads array<string>, detached boolean, commented boolean, frozen boolean, blanks int, operation string, finally_ops array<string>, at_line int, at_col int, touched boolean, word string, joined_columns int, joined_arms int, blank_lines array<int>"
 )
-LIST = "list_id int, braced boolean, open_line int, first_line int, last_line int, close_line int, first_touched boolean, last_touched boolean"
-PARSED = f"path string, error string, text string, braces array<struct<line: int, col: int>>, origin array<int>, changed array<int>, deleted array<int>, stmts array<struct<{STATEMENT.replace(' ', ':').replace(',:', ', ')}>>, lists array<struct<{LIST.replace(' ', ':').replace(',:', ', ')}>>"
+LIST = "list_id int, braced boolean, open_line int, first_line int, last_line int, close_line int, edges array<struct<line: int, at_line: int, at_start: boolean>>"
+_typed = lambda ddl: re.sub(r"(^|, (?![^<]*>))(\w+) ", r"\1\2: ", ddl)
+PARSED = f"path string, error string, text string, braces array<struct<line: int, col: int>>, origin array<int>, changed array<int>, deleted array<int>, stmts array<struct<{_typed(STATEMENT)}>>, lists array<struct<{_typed(LIST)}>>"
 EXPLAINED = ", blocks array<struct<open: int, close: int, owner: int, first: int, last: int, state: string, why: string>>, off array<struct<first: int, last: int>>"
 ROWS = 64
 
@@ -28,7 +30,7 @@ def parsed(files: DataFrame, marker: str = "gapweave", columns: int = syntax.COL
     fall back on the arguments, and lines and deleted (changed lines, and lines after which something was deleted; both null: all is in scope); other columns are ignored.  A path is a key: repeat it and its statements repeat.  The dialect follows the path's extension;
     an unknown one is read as ts.
     """
-    fields = {"stmts": [x.split()[0] for x in STATEMENT.split(", ")], "lists": [x.split()[0] for x in LIST.split(", ")]}
+    fields = {k: re.findall(r"(?:^|, (?![^<]*>))(\w+) ", ddl) for k, ddl in (("stmts", STATEMENT), ("lists", LIST))}
 
     settings = {"columns": columns, "tab": tab, "ruler": ruler, "braces": braces}
     ddl = PARSED + (EXPLAINED if explain else "")
@@ -58,3 +60,8 @@ def statements(read: DataFrame) -> DataFrame:
 def lists(read: DataFrame) -> DataFrame:
     """A row for each statement list that holds a statement."""
     return read.select("path", F.inline("lists")).filter("first_line is not null")
+
+
+def edges(read: DataFrame) -> DataFrame:
+    """path, list_id, line, at_line, at_start: blank lines right inside braces, where they were in the file, and on which side."""
+    return read.select("path", F.inline("lists")).select("path", "list_id", F.inline("edges"))
