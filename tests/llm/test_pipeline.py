@@ -45,3 +45,18 @@ def test_odd_rows(spark):
     for stage in (cp.one_of_each, cp.without_pii, cp.mixed):
         assert stage(spark, docs.limit(0), "").count() == 0
     assert cp.tokens(spark, cp.mixed(spark, cp.without_pii(spark, docs, ""), ""), "").count() > 0
+
+
+def test_empty_and_odd_tables_in_every_stage(spark, tmp_path):
+    """Toxicity and tokens, too: no rows, no labels, clashing columns."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, ids string"
+    docs = spark.createDataFrame([(1, None, None, None, None, 0.5, "x"), (2, "", "en", "a", 0, 0.5, "x"), (3, "some words here", "en", "a", 15, 0.5, "x"), (None, "w " * 30_000, None, "b", None, 0.5, "x")], schema)
+    for name, rows in (("none", []), ("some", [(3, 0, 1), (2, 1, 0)])):
+        spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs.limit(0), str(tmp_path / "none"))
+        assert out.count() == 0 and (name == "bpe" or out.columns == cp.COLUMNS)
+    assert cp.without_toxic(spark, docs, str(tmp_path / "none")).count() == 4
+    assert {r.doc_id for r in cp.without_toxic(spark, docs, str(tmp_path / "some")).collect()} <= {1, 2, 3, None}
+    tokens = {r.doc_id: r for r in cp.tokens(spark, docs, "").collect()}
+    assert tokens[1].n_tokens == tokens[2].n_tokens == 0 and tokens[None].n_tokens > 30_000
