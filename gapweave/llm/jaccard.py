@@ -8,8 +8,8 @@ PERCENT * |union| <= 100 * |intersection|; for sizes s and t that fixes the over
 * Large sets (and small ones near the boundary): inverted lists of the tokens that a linked pair must share one of, the
   first s - ceil(s * PERCENT / 100) + 1 in a common order, which has frequent tokens last.  Rows of a list pair up if sizes and
   parity bitmaps (a lower bound of the difference) allow; long lists hang on their first member instead.  That gives candidate
-  groups.  Each is verified in full on its sets, in blocks of at most BLOCK x BLOCK classes, so no task gets an unbounded
-  group; a block returns a forest of its links, not all pairs.
+  groups.  Members that link with their group's first class are connected by that; the others are verified against the whole group on their
+  sets, in blocks of at most BLOCK x BLOCK classes, so no task gets an unbounded group; a block returns a forest of its links, not all pairs.
 * The boundary is where the summed cost of subsets and lists, from the histogram of sizes, is least.
 
 Hashes have 64 bits; equality of shingles is equality of hashes.  Null text and text without words give the empty set,
@@ -285,17 +285,33 @@ def links_of(sets: list[np.ndarray], first: int, percent: int = PERCENT) -> list
     return out
 
 
+def _hung(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """root, node, linked: whether each member of a group links with its root.  Members meet the root block by block, so no key is hot."""
+    roots = placed.filter("node = root").select("root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
+    of_root = roots.join(sets.select(F.col("c").alias("root"), F.col("set").alias("of_root")), "root")
+    own = placed.filter("node <> root").select("root", "node", "own").join(sets.withColumnRenamed("c", "node"), "node")
+    over = F.size(F.array_intersect("set", "of_root"))
+    return own.join(of_root, ["root", "own"]).select("root", "node", (100 * over >= percent * (F.size("set") + F.size("of_root") - over)).alias("linked"))
+
+
 def _verified(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """groups: node, root.  sets: c, set.  a, b: links, connecting what linked pairs within a group connect."""
+    """groups: node, root.  sets: c, set.  a, b: links, connecting what linked pairs within a group connect.
+
+    Members that link with their group's root are connected by that alone.  Only the others meet all members of the group, in blocks of at most BLOCK by
+    BLOCK; a group of near copies of its root, of whatever size, costs its members once.
+    """
     spark = groups.sparkSession
-    sizes = groups.groupBy("root").agg(F.count("*").alias("members"))
-    placed = groups.join(sizes, "root").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    # each member in a block by hash; a block meets itself and every other block of its group
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
-    placed = materialised(placed.withColumn("meet", F.explode(meets)).select("root", "node", "own", "meet.i", "meet.j"), "placed")
-    n = placed.count()
-    data = sets.withColumnRenamed("c", "node").join(F.broadcast(placed) if n <= MOST_BROADCAST else placed, "node")
+    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = materialised(groups.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "placed")
+    star = materialised(_hung(placed, sets, percent), "star")
+    lone = star.filter(~F.col("linked")).select("root", "node")
+    many = lone.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("lone"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = lone.join(many, "root").join(sizes, "root").select("root", "node", F.pmod(F.xxhash64("node"), "lone").cast("int").alias("i"), every("blocks").alias("j"), F.lit(0).alias("side"))
+    right = placed.join(many, "root").select("root", "node", every("lone").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"))
+    meet = materialised(left.unionByName(right), "meet")
+    n = meet.count()
+    data = sets.withColumnRenamed("c", "node").join(F.broadcast(meet) if n <= MOST_BROADCAST else meet, "node")
     n_bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pieces(n, 500))
 
     def go(f):
@@ -303,17 +319,17 @@ def _verified(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
         a_out, b_out = [], []
         for _, g in f.groupby(["root", "i", "j"], sort=False):
-            g = g.sort_values(["own", "node"])
-            first = int((g["own"] == g["i"].iloc[0]).sum()) if g["i"].iloc[0] != g["j"].iloc[0] else 0
-            node = g["node"].tolist()
-            if len(node) > 1:
+            g = g.sort_values(["side", "node"])
+            first, node = int((g["side"] == 0).sum()), g["node"].tolist()
+            if 0 < first < len(node):
                 for i, j in links_of([np.asarray(s, np.int64) for s in g["set"]], first, percent):
                     a_out.append(node[i])
                     b_out.append(node[j])
         return pd.DataFrame({"a": pd.Series(a_out, dtype="int64"), "b": pd.Series(b_out, dtype="int64")})
 
     binned = data.withColumn("bin", F.pmod(F.xxhash64("root", "i", "j"), F.lit(n_bins)).cast("int"))
-    return binned.groupBy("bin").applyInPandas(go, "a long, b long")
+    rest = binned.groupBy("bin").applyInPandas(go, "a long, b long").filter("a <> b")
+    return star.filter("linked").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(rest)
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -347,7 +363,7 @@ def linked_components(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     chosen = materialised(sigs.filter((F.col("n") > 0) & (100 * F.col("n") >= percent * (b + 1))).select("c", "n", "prefix", "sig", "big").dropDuplicates(["c"]), "large")
     groups = components(_candidates(chosen, percent))
     grouped = materialised(groups, "groups")
-    sets = _sets_of(docs, every.join(grouped.select(F.col("node").alias("c")), "c", "left_semi"), words)
+    sets = materialised(_sets_of(docs, every.join(grouped.select(F.col("node").alias("c")), "c", "left_semi"), words).dropDuplicates(["c"]), "members")
     edges = _verified(grouped, sets, percent).union(_small_edges(docs, every.filter(F.col("n") <= b), b, words, percent))
     roots = components(edges)
     least = every.select("c", F.col("doc_id").alias("first")).join(roots.withColumnRenamed("node", "c"), "c", "left")
