@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, documents, kept, lean
-from .pieces import MARK, SIDE_BY_SIDE, Pieces, default_path, vocabulary
+from .pieces import APART, MARK, SIDE_BY_SIDE, Pieces, default_path, vocabulary
 
 SAMPLE_DOCS = 3000
 ROUNDS = 3
@@ -111,7 +111,7 @@ def log_probabilities(v: Pieces, probs: np.ndarray, words: list[str]) -> np.ndar
     """Of each word in each language, all segmentations summed.  probs: pieces (and the lone character) by languages, none under LEAST."""
     out = np.zeros((len(words), probs.shape[1]))
     x = scaled(v, probs)
-    short = sorted((i for i, w in enumerate(words) if len(w) <= SIDE_BY_SIDE and "\n" not in w), key=lambda i: len(words[i]))
+    short = sorted((i for i, w in enumerate(words) if len(w) <= SIDE_BY_SIDE and APART not in w), key=lambda i: len(words[i]))
     if len(short) < len(words):
         for i in set(range(len(words))).difference(short):
             out[i] = _long(v, probs, words[i])
@@ -141,7 +141,7 @@ def fit(v: Pieces, words: list[str], counts: np.ndarray, rounds: int = ROUNDS) -
     n_langs = counts.shape[1]
     blocks = []
     for a in range(0, len(cut), AT_ONCE):
-        own = [w.replace("\n", " ") for w, _ in cut[a : a + AT_ONCE]]
+        own = [w.replace(APART, " ") for w, _ in cut[a : a + AT_ONCE]]
         blocks.append((np.array([len(w) for w in own]), counts[[i for _, i in cut[a : a + AT_ONCE]]], _lattice(v, own)))
     seen = np.zeros((len(v.pieces) + 1, n_langs))
     for _, c, (word, _, _, piece) in blocks:

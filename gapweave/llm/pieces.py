@@ -6,12 +6,13 @@ then run over all words side by side, one end position at a time.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterable
 from itertools import chain
 
 import numpy as np
 
 MARK = "▁"
+#: Stands between words that are searched together; no piece holds it, and a word that does is handled by itself.
+APART = "\0"
 #: The library's penalty below the lowest score for a character that no piece covers.
 UNKNOWN_PENALTY = 10.0
 #: Words beyond this length are handled one by one, in time in proportion to their length.
@@ -45,8 +46,8 @@ class Pieces:
         self.unknown = float(self.scores.min()) - UNKNOWN_PENALTY
 
     def matches(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Word, start, end and piece of every match; by word, end, and start.  No piece holds a line feed."""
-        joined = "\n".join(words)
+        """Word, start, end and piece of every match; by word, end, and start.  No word holds APART."""
+        joined = APART.join(words)
         flat = np.fromiter(chain.from_iterable(self.automaton.iter(joined)), np.int64).reshape(-1, 2)
         ends, piece = flat[:, 0] + 1, flat[:, 1]
         begins = np.zeros(len(words), np.int64)
@@ -64,12 +65,3 @@ class Pieces:
 @functools.lru_cache(maxsize=1)
 def vocabulary(path: str) -> Pieces:
     return Pieces(path)
-
-
-def by_end(word, start, end, *rest) -> Iterable[tuple[np.ndarray, ...]]:
-    """The matches of each end position in turn, for positions 1, 2, ..."""
-    order = np.argsort(end, kind="stable")
-    cuts = np.searchsorted(end[order], np.arange(1, (int(end.max()) if len(end) else 0) + 2))
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        part = order[a:b]
-        yield (word[part], start[part], *[r[part] for r in rest])

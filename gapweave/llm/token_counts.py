@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, documents, kept, lean
-from .pieces import MARK, SIDE_BY_SIDE, Pieces, by_end, default_path, vocabulary
+from .pieces import APART, MARK, SIDE_BY_SIDE, Pieces, default_path, vocabulary
 
 CACHE_WORDS = 200_000
-AT_ONCE = 50_000
+AT_ONCE = 16_384
 ROWS = 1024
 
 
@@ -53,7 +53,7 @@ def _one(v: Pieces, word: str) -> int:
 def viterbi_counts(v: Pieces, words: list[str]) -> list[int]:
     """Pieces of each word's best segmentation; words hold their mark."""
     out = np.zeros(len(words), np.int64)
-    short = [i for i, w in enumerate(words) if len(w) <= SIDE_BY_SIDE and "\n" not in w]
+    short = [i for i, w in enumerate(words) if len(w) <= SIDE_BY_SIDE and APART not in w]
     for i in set(range(len(words))).difference(short):
         out[i] = _one(v, words[i])
     for a in range(0, len(short), AT_ONCE):
@@ -65,18 +65,26 @@ def viterbi_counts(v: Pieces, words: list[str]) -> list[int]:
             lw, lk, lc = zip(*lone, strict=True)
             word, start, end = np.append(word, lw), np.append(start, lk), np.append(end, np.array(lk) + 1)
             score, bytes_ = np.append(score, np.full(len(lw), v.unknown)), np.append(bytes_, [len(c.encode("utf-8", "replace")) for c in lc])
+            order = np.lexsort((start, word, end))
+        else:
+            order = np.argsort(end.astype(np.int16), kind="stable")  # by word and start already
+        word, start, end, score, bytes_ = word[order], start[order], end[order], score[order], bytes_[order]
         width = max(map(len, own)) + 1
         best, count = np.full((len(own), width), -np.inf), np.zeros((len(own), width), np.int64)
         best[:, 0] = 0.0
-        for e, (w, s, x, k) in enumerate(by_end(word, start, end, score, bytes_), 1):
-            for first in range(0, e):  # by start: strictly more wins
-                m = s == first
-                if m.any():
-                    wm = w[m]
-                    got = best[wm, first] + x[m]
-                    more = got > best[wm, e]
-                    best[wm[more], e] = got[more]
-                    count[wm[more], e] = count[wm[more], first] + k[m][more]
+        cuts = np.flatnonzero(np.diff(end, prepend=-1))
+        for x, z in zip(cuts, [*cuts[1:], len(end)], strict=True):
+            w, s = word[x:z], start[x:z]
+            got = best[w, s] + score[x:z]
+            new = np.flatnonzero(np.diff(w, prepend=-1))
+            most = np.maximum.reduceat(got, new)
+            # of equal scores the first by start: the longest piece
+            size = np.diff(new, append=len(w))
+            first = np.minimum.reduceat(np.where(got == np.repeat(most, size), np.arange(len(w)), len(w)), new)
+            good = most > -np.inf
+            rows, first = w[new][good], first[good]
+            best[rows, end[x]] = most[good]
+            count[rows, end[x]] = count[rows, s[first]] + bytes_[x:z][first]
         out[ids] = count[np.arange(len(own)), [len(w) for w in own]]
     return out.tolist()
 
