@@ -19,7 +19,7 @@ takes part but names no component while another id is there.  An empty table giv
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -294,24 +294,28 @@ def _hung(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return own.join(of_root, ["root", "own"]).select("root", "node", (100 * over >= percent * (F.size("set") + F.size("of_root") - over)).alias("linked"))
 
 
-def _verified(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """groups: node, root.  sets: c, set.  a, b: links, connecting what linked pairs within a group connect.
+def _verified(groups: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """groups: node, root.  sets_of: c, set of the classes named by node.  a, b: links, connecting what linked pairs within a group connect.
 
-    Members that link with their group's root are connected by that alone.  Only the others meet all members of the group, in blocks of at most BLOCK by
-    BLOCK; a group of near copies of its root, of whatever size, costs its members once.
+    A group of one block is verified pair by pair.  In larger ones, members that link with their group's root are connected by that alone, and only the
+    others meet all members of the group, in blocks of at most BLOCK by BLOCK; a group of near copies of its root, of whatever size, costs its members once.
     """
     spark = groups.sparkSession
     sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = materialised(groups.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "placed")
-    star = materialised(_hung(placed, sets, percent), "star")
+    few, large = placed.filter("blocks = 1"), placed.filter("blocks > 1")
+    star = placed.select("root", "node", F.lit(True).alias("linked")).limit(0)
+    if large.limit(1).count():
+        star = materialised(_hung(large, materialised(sets_of(large), "members"), percent), "star")
     lone = star.filter(~F.col("linked")).select("root", "node")
     many = lone.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("lone"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = lone.join(many, "root").join(sizes, "root").select("root", "node", F.pmod(F.xxhash64("node"), "lone").cast("int").alias("i"), every("blocks").alias("j"), F.lit(0).alias("side"))
-    right = placed.join(many, "root").select("root", "node", every("lone").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"))
-    meet = materialised(left.unionByName(right), "meet")
+    right = large.join(many, "root").select("root", "node", every("lone").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"))
+    alone = few.select("root", "node", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"))
+    meet = materialised(left.unionByName(right).unionByName(alone), "meet")
     n = meet.count()
-    data = sets.withColumnRenamed("c", "node").join(F.broadcast(meet) if n <= MOST_BROADCAST else meet, "node")
+    data = sets_of(meet.select("node").distinct()).withColumnRenamed("c", "node").join(F.broadcast(meet) if n <= MOST_BROADCAST else meet, "node")
     n_bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pieces(n, 500))
 
     def go(f):
@@ -321,7 +325,7 @@ def _verified(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for _, g in f.groupby(["root", "i", "j"], sort=False):
             g = g.sort_values(["side", "node"])
             first, node = int((g["side"] == 0).sum()), g["node"].tolist()
-            if 0 < first < len(node):
+            if 0 < first < len(node) or g["side"].iloc[-1] == 2 and len(node) > 1:
                 for i, j in links_of([np.asarray(s, np.int64) for s in g["set"]], first, percent):
                     a_out.append(node[i])
                     b_out.append(node[j])
@@ -363,8 +367,8 @@ def linked_components(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     chosen = materialised(sigs.filter((F.col("n") > 0) & (100 * F.col("n") >= percent * (b + 1))).select("c", "n", "prefix", "sig", "big").dropDuplicates(["c"]), "large")
     groups = components(_candidates(chosen, percent))
     grouped = materialised(groups, "groups")
-    sets = materialised(_sets_of(docs, every.join(grouped.select(F.col("node").alias("c")), "c", "left_semi"), words).dropDuplicates(["c"]), "members")
-    edges = _verified(grouped, sets, percent).union(_small_edges(docs, every.filter(F.col("n") <= b), b, words, percent))
+    sets_of = lambda nodes: _sets_of(docs, every.join(nodes.select(F.col("node").alias("c")), "c", "left_semi"), words)
+    edges = _verified(grouped, sets_of, percent).union(_small_edges(docs, every.filter(F.col("n") <= b), b, words, percent))
     roots = components(edges)
     least = every.select("c", F.col("doc_id").alias("first")).join(roots.withColumnRenamed("node", "c"), "c", "left")
     of_root = least.filter("root is not null").groupBy("root").agg(F.min("first").alias("component_id"))
