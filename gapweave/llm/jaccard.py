@@ -8,8 +8,8 @@ PERCENT * |union| <= 100 * |intersection|; for sizes s and t that fixes the over
 * Large sets (and small ones near the boundary): inverted lists of the tokens that a linked pair must share one of, the
   first s - ceil(s * PERCENT / 100) + 1 in a common order, which has frequent tokens last.  Rows of a list pair up if sizes and
   parity bitmaps (a lower bound of the difference) allow; long lists hang on their first member instead.  That gives candidate
-  groups.  Members that link with their group's first class are connected by that; the others are verified against the whole group on their
-  sets, in blocks of at most BLOCK x BLOCK classes, so no task gets an unbounded group; a block returns a forest of its links, not all pairs.
+  groups.  Each is verified on its sets, in blocks of at most BLOCK x BLOCK classes, so no task gets an unbounded group; a block returns a forest of its
+  links, not all pairs.  In groups of more than WIDE blocks, members that link with the first class are connected by that, and only the others meet the group.
 * The boundary is where the summed cost of subsets and lists, from the histogram of sizes, is least.
 
 Hashes have 64 bits; equality of shingles is equality of hashes.  Null text and text without words give the empty set,
@@ -34,7 +34,8 @@ WORDS, PERCENT = 3, 90
 HEAVY, MOST_HEAVY = 32, 1_000_000
 #: Rows of longer lists hang on the first instead of pairing up.
 LONG_LIST = 128
-BLOCK = 512
+#: Classes of a block; groups of more than WIDE blocks go by their first class.
+BLOCK, WIDE = 512, 16
 LARGEST_SMALL = 36
 SIG = 4
 #: Sets of at least BIG_FROM shingles have a second bitmap of BIG longs, which only pairs that pass the first fetch.
@@ -294,26 +295,37 @@ def _hung(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return own.join(of_root, ["root", "own"]).select("root", "node", (100 * over >= percent * (F.size("set") + F.size("of_root") - over)).alias("linked"))
 
 
+def _meeting(members: DataFrame) -> DataFrame:
+    """root, node, own, blocks: each member beside every block of its group, each pair of blocks once; side tells the two apart."""
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
+    each = members.withColumn("meet", F.explode(meets))
+    return each.select("root", "node", F.lit(0).alias("part"), "meet.i", "meet.j", (F.col("own") != F.col("meet.i")).cast("int").alias("side"))
+
+
 def _verified(groups: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """groups: node, root.  sets_of: c, set of the classes named by node.  a, b: links, connecting what linked pairs within a group connect.
 
-    A group of one block is verified pair by pair.  In larger ones, members that link with their group's root are connected by that alone, and only the
-    others meet all members of the group, in blocks of at most BLOCK by BLOCK; a group of near copies of its root, of whatever size, costs its members once.
+    Groups of up to WIDE blocks are verified block by block.  In larger ones, members that link with their group's root are connected by that alone; only the
+    others meet each other and those, block by block.  So a group of near copies of its root, of whatever size, costs its members a few times, not the square.
     """
     spark = groups.sparkSession
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = materialised(groups.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "placed")
-    few, large = placed.filter("blocks = 1"), placed.filter("blocks > 1")
+    count = lambda df, name: df.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    placed = materialised(groups.join(count(groups, "blocks"), "root").withColumn("own", block("blocks")), "placed")
+    large = placed.filter(F.col("blocks") > WIDE)
+    meet = _meeting(placed.filter(F.col("blocks") <= WIDE))
     star = placed.select("root", "node", F.lit(True).alias("linked")).limit(0)
     if large.limit(1).count():
         star = materialised(_hung(large, materialised(sets_of(large), "members"), percent), "star")
-    lone = star.filter(~F.col("linked")).select("root", "node")
-    many = lone.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("lone"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = lone.join(many, "root").join(sizes, "root").select("root", "node", F.pmod(F.xxhash64("node"), "lone").cast("int").alias("i"), every("blocks").alias("j"), F.lit(0).alias("side"))
-    right = large.join(many, "root").select("root", "node", every("lone").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"))
-    alone = few.select("root", "node", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"))
-    meet = materialised(left.unionByName(right).unionByName(alone), "meet")
+        lone = star.filter(~F.col("linked")).select("root", "node")
+        rest = lone.join(count(lone, "blocks"), "root").withColumn("own", block("blocks"))
+        near = star.filter("linked").select("root", "node").unionByName(large.filter("node = root").select("root", "node")).distinct()
+        sizes = count(lone, "lone").join(count(near, "near"), "root")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = lone.join(sizes, "root").select("root", "node", F.lit(1).alias("part"), block("lone").alias("i"), every("near").alias("j"), F.lit(0).alias("side"))
+        right = near.join(sizes, "root").select("root", "node", F.lit(1).alias("part"), every("lone").alias("i"), block("near").alias("j"), F.lit(1).alias("side"))
+        meet = meet.unionByName(_meeting(rest)).unionByName(left).unionByName(right)
+    meet = materialised(meet, "meet")
     n = meet.count()
     data = sets_of(meet.select("node").distinct()).withColumnRenamed("c", "node").join(F.broadcast(meet) if n <= MOST_BROADCAST else meet, "node")
     n_bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pieces(n, 500))
@@ -322,18 +334,19 @@ def _verified(groups: DataFrame, sets_of: Callable[[DataFrame], DataFrame], perc
         import pandas as pd
 
         a_out, b_out = [], []
-        for _, g in f.groupby(["root", "i", "j"], sort=False):
+        for (_, part, i, j), g in f.groupby(["root", "part", "i", "j"], sort=False):
             g = g.sort_values(["side", "node"])
-            first, node = int((g["side"] == 0).sum()), g["node"].tolist()
-            if 0 < first < len(node) or g["side"].iloc[-1] == 2 and len(node) > 1:
-                for i, j in links_of([np.asarray(s, np.int64) for s in g["set"]], first, percent):
-                    a_out.append(node[i])
-                    b_out.append(node[j])
+            within = part == 0 and i == j
+            first, node = 0 if within else int((g["side"] == 0).sum()), g["node"].tolist()
+            if len(node) > 1 and (within or 0 < first < len(node)):
+                for x, y in links_of([np.asarray(s, np.int64) for s in g["set"]], first, percent):
+                    a_out.append(node[x])
+                    b_out.append(node[y])
         return pd.DataFrame({"a": pd.Series(a_out, dtype="int64"), "b": pd.Series(b_out, dtype="int64")})
 
-    binned = data.withColumn("bin", F.pmod(F.xxhash64("root", "i", "j"), F.lit(n_bins)).cast("int"))
-    rest = binned.groupBy("bin").applyInPandas(go, "a long, b long").filter("a <> b")
-    return star.filter("linked").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(rest)
+    binned = data.withColumn("bin", F.pmod(F.xxhash64("root", "part", "i", "j"), F.lit(n_bins)).cast("int"))
+    found = binned.groupBy("bin").applyInPandas(go, "a long, b long").filter("a <> b")
+    return star.filter("linked").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(found)
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
