@@ -286,11 +286,13 @@ def links_of(sets: list[np.ndarray], first: int, percent: int = PERCENT) -> list
     return out
 
 
-def _hung(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _hung(placed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """root, node, linked: whether each member of a group links with its root.  Members meet the root block by block, so no key is hot."""
-    roots = placed.filter("node = root").select("root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
-    of_root = roots.join(sets.select(F.col("c").alias("root"), F.col("set").alias("of_root")), "root")
-    own = placed.filter("node <> root").select("root", "node", "own").join(sets.withColumnRenamed("c", "node"), "node")
+    roots = placed.filter("node = root")
+    heads = sets_of(roots.select("node")).select(F.col("c").alias("root"), F.col("set").alias("of_root"))
+    of_root = roots.select("root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own")).join(heads, "root")
+    members = placed.filter("node <> root").select("root", "node", "own")
+    own = members.join(sets_of(members.select("node")).withColumnRenamed("c", "node"), "node")
     over = F.size(F.array_intersect("set", "of_root"))
     return own.join(of_root, ["root", "own"]).select("root", "node", (100 * over >= percent * (F.size("set") + F.size("of_root") - over)).alias("linked"))
 
@@ -316,7 +318,7 @@ def _verified(groups: DataFrame, sets_of: Callable[[DataFrame], DataFrame], perc
     meet = _meeting(placed.filter(F.col("blocks") <= WIDE))
     star = placed.select("root", "node", F.lit(True).alias("linked")).limit(0)
     if large.limit(1).count():
-        star = materialised(_hung(large, materialised(sets_of(large), "members"), percent), "star")
+        star = materialised(_hung(large, sets_of, percent), "star")
         lone = star.filter(~F.col("linked")).select("root", "node")
         rest = lone.join(count(lone, "blocks"), "root").withColumn("own", block("blocks"))
         near = star.filter("linked").select("root", "node").unionByName(large.filter("node = root").select("root", "node")).distinct()
