@@ -1,4 +1,4 @@
-"""From source text to findings and fixed text: one pass reads the files, windows over (path, list_id) do the rest.
+"""From source text to findings and fixed text: one pass reads each distinct content, windows over (path, list_id) do the rest.
 
 files: path, text, and maybe formatter settings by row (sources.statements).  Braces go first, then blank lines are judged on what is left; check
 mode gives every finding at its place in the file, fix mode what can't be fixed at its place in the fixed text.
@@ -28,6 +28,8 @@ MESSAGES = {
 JOIN, WALL = "remove the blank line between `%s` and the `%s` that reads it", "split these %d statements into steps with a blank line"
 AFTER, BEFORE = "remove the blank line right after `{`", "remove the blank line right before `}`"
 FINDING = ["path", "line", "col", "rule", "message", "fixable"]
+#: Contents of a partition, unless there are too few partitions.
+EACH = 500
 
 
 def settled(stmts: DataFrame) -> DataFrame:
@@ -75,15 +77,19 @@ def with_changes(files: DataFrame, changed: DataFrame) -> DataFrame:
 
 def _parts(files: DataFrame, marker: str, settings: dict):
     """What the pass read, once, dealt by path: every window and join behind it is on the path, so nothing is shuffled again."""
-    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = min(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(files.sparkSession.sparkContext.defaultParallelism, -(-files.count() // EACH)))
     read = once(st.parsed(files, marker, **settings).repartition(n, "path"))
     stmts = st.statements(read)
     return read, stmts, settled(stmts)
 
 
 def findings(files: DataFrame, marker: str = "gapweave", **settings) -> DataFrame:
-    """path, line, col, rule, message, fixable of every finding, at its place in the file; a file that can't be read gives a single `parse`."""
-    read, stmts, every = _parts(files, marker, settings)
+    """path, line, col, rule, message, fixable of every finding, at its place in the file; a file that can't be read gives a single `parse`.
+
+    Rows that repeat a path each have their own findings; a null path is read as ts.
+    """
+    names, texts = st.contents(files)
+    read, stmts, every = _parts(texts, marker, settings)
     gaps = every
     n = lambda c: F.col(f"next.{c}")
     wrong = ((F.col("want") == "none") & (F.col("blanks") > 0) & ~n("detached")) | ((F.col("want") == "some") & (F.col("blanks") == 0) & (n("start_line") > F.col("prev.end_line")))
@@ -100,16 +106,18 @@ def findings(files: DataFrame, marker: str = "gapweave", **settings) -> DataFram
     out = spaced
     for part in (tight, walls, side, failed, gone):
         out = out.unionByName(part)
-    return out.select(*FINDING)
+    return names.join(out.withColumnRenamed("path", "content"), "content").select(*FINDING)
 
 
 def fixed(files: DataFrame, marker: str = "gapweave", **settings) -> DataFrame:
     """path, text of every file with its braces and blank lines set right; a file that can't be read stays as it is."""
-    read, _, gaps = _parts(files, marker, settings)
+    names, texts = st.contents(files)
+    read, _, gaps = _parts(texts, marker, settings)
     edits = g.gap_edits(gaps.filter("next.touched")).select("path", "line", "op").unionByName(st.edges(read).select("path", "line", F.lit("delete").alias("op")))
     mark = F.substring(F.coalesce("text", F.lit("")), 1, 1) == "\ufeff"
-    marked = files.filter(mark).select("path", F.lit(True).alias("_mark"))
-    return g.edited(read, edits).join(marked, "path", "left").select("path", F.when(F.col("_mark"), F.concat(F.lit("\ufeff"), "text")).otherwise(F.col("text")).alias("text"))
+    marked = texts.filter(mark).select("path", F.lit(True).alias("_mark"))
+    out = g.edited(read, edits).join(marked, "path", "left").select(F.col("path").alias("content"), F.when(F.col("_mark"), F.concat(F.lit("\ufeff"), "text")).otherwise(F.col("text")).alias("text"))
+    return names.join(out, "content").select("path", "text")
 
 
 def remaining(fixed_files: DataFrame, marker: str = "gapweave", **settings) -> DataFrame:

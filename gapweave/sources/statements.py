@@ -10,6 +10,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions import syntax
+from ..functions.once import stored
 
 STATEMENT = (
     "list_id int, idx int, list_kind string, kind string, line int, col int, start_line int, end_line int, multiline boolean, compact boolean, guard boolean, jump string, "
@@ -20,6 +21,23 @@ _typed = lambda ddl: re.sub(r"(^|, (?![^<]*>))(\w+) ", r"\1\2: ", ddl)  # noqa:
 PARSED = f"path string, error string, text string, braces array<struct<line: int, col: int>>, origin array<int>, changed array<int>, deleted array<int>, stmts array<struct<{_typed(STATEMENT)}>>, lists array<struct<{_typed(LIST)}>>"
 EXPLAINED = ", blocks array<struct<open: int, close: int, owner: int, first: int, last: int, state: string, why: string>>, off array<struct<first: int, last: int>>"
 ROWS = 64
+#: What rows of files may say beside path and text.
+SETTINGS = ("columns", "tab", "ruler", "braces", "lines", "deleted")
+
+
+def contents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(names, texts): path, content of every row of files, and files with a row for each content, whose path it is.
+
+    A content is what decides how a file is judged: its text, its settings and changed lines, and the dialect by its path.  Copies share one, so they
+    are read once; equal SHA-256 sums count as equal contents.  Both tables are written once.
+    """
+    extension = F.lower(F.substring_index("path", ".", -1))
+    dialect = F.when(F.col("path").contains(".") & extension.isin(*syntax.EXTENSIONS), extension).otherwise("ts")
+    own = [k for k in SETTINGS if k in files.columns]
+    said = F.to_json(F.struct(F.col("text").isNull().alias("null"), *own))  # on a line of its own, so no text can pass for settings
+    key = F.concat(F.base64(F.unhex(F.sha2(F.concat(said, F.lit("\n"), F.coalesce("text", F.lit(""))), 256))), F.lit("."), dialect)
+    every = stored(files.select("path", key.alias("content"), "text", *own))
+    return every.select("path", "content"), stored(every.drop("path").withColumnRenamed("content", "path").dropDuplicates(["path"]))
 
 
 def parsed(files: DataFrame, marker: str = "gapweave", columns: int = syntax.COLUMNS, tab: int = syntax.TAB, ruler: str = "prettier", braces: bool = True, explain: bool = False) -> DataFrame:

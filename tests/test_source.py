@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from gapweave.functions.syntax import analyse
 from gapweave.plans import analysis
 from gapweave.sources import statements as st
@@ -89,3 +91,22 @@ def test_regions_and_empty_table(spark):
     files = spark.createDataFrame([("a.ts", text)], "path string, text string")
     assert [(r.line, r.rule) for r in analysis.findings(files).collect()] == [(7, "after-guard")]
     assert analysis.findings(files.limit(0)).count() == 0 and st.statements(st.parsed(files.limit(0))).count() == 0
+
+
+def test_copies_are_read_once(spark, monkeypatch):
+    read, parsed = [], st.parsed
+    monkeypatch.setattr(st, "parsed", lambda files, *a, **k: [read.append(files.count()), parsed(files, *a, **k)][1])
+    text = "if (a) return;\nb();\n"
+    files = spark.createDataFrame([("a.ts", text), ("b.ts", text), ("b.ts", text), (None, text), ("c.TSX", text), ("ts", text), ("d.ts", "b();\n"), ("e.ts", "")], "path string, text string")
+    found = sorted((str(r.path), r.line, r.rule) for r in analysis.findings(files).collect())
+    assert found == [(x, 2, "after-guard") for x in ("None", "a.ts", "b.ts", "b.ts", "c.TSX", "ts")]
+    assert read == [4]
+    assert sorted((str(r.path), r.text) for r in analysis.fixed(files).collect()) == sorted((str(r.path), r.text.replace(";\nb", ";\n\nb")) for r in files.collect())
+
+
+def test_contents_differ_by_settings_and_changes(spark):
+    text, rows = "if (a) {\n  b();\n}\n", [("a.ts", True, None), ("b.ts", False, None), ("c.ts", None, [9]), ("d.ts", None, [])]
+    files = spark.createDataFrame([(p, text, b, lines) for p, b, lines in rows], "path string, text string, braces boolean, lines array<int>")
+    names, texts = st.contents(files)
+    assert names.count() == texts.count() == 4 and st.contents(files.withColumn("path", F.concat(F.lit("x/"), "path")))[1].count() == 4
+    assert [r.path for r in analysis.findings(files).collect()] == ["a.ts"]
