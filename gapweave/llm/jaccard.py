@@ -7,8 +7,8 @@ PERCENT * |union| <= 100 * |intersection|; for sizes s and t that fixes the over
   small sets link exactly if they share one, so all that share a subset hang on one of them; no pair is ever listed.
 * Large sets (and small ones near the boundary): inverted lists of the tokens that a linked pair must share one of, the
   first s - ceil(s * PERCENT / 100) + 1 in a common order, which has frequent tokens last.  Rows of a list pair up if sizes and
-  parity bitmaps (a lower bound of the difference) allow; long lists hang on their first member instead.  That gives candidate
-  groups.  Each is verified on its sets, in blocks of at most BLOCK x BLOCK classes, so no task gets an unbounded group; a block returns a forest of its
+  parity bitmaps (a lower bound of the difference) allow; long lists do so in blocks, each of which returns a forest of its pairs.
+  So a frequent token alone connects nothing, however long its list.  That gives candidate groups.  Each is verified on its sets, in blocks of at most BLOCK x BLOCK classes, so no task gets an unbounded group; a block returns a forest of its
   links, not all pairs.  In groups of more than WIDE blocks, members that link with the first class are connected by that, and only the others meet the group.
 * The boundary is where the summed cost of subsets and lists, from the histogram of sizes, is least.
 
@@ -32,8 +32,8 @@ from .components import components
 WORDS, PERCENT = 3, 90
 #: Lists longer than HEAVY make their token a frequent one; at most MOST_HEAVY are told to the tasks (8 bytes each).
 HEAVY, MOST_HEAVY = 32, 1_000_000
-#: Rows of longer lists hang on the first instead of pairing up.
-LONG_LIST = 128
+#: Rows of longer lists pair up in blocks of so many.
+LONG_LIST, LIST_BLOCK = 128, 2048
 #: Classes of a block; groups of more than WIDE blocks go by their first class.
 BLOCK, WIDE = 512, 16
 LARGEST_SMALL = 36
@@ -42,7 +42,8 @@ SIG = 4
 BIG_FROM, BIG = 500, 64
 CACHE_WORDS = 100_000
 ROWS = 1024
-MOST_BROADCAST = 1_000_000
+#: Ids, and rows of pairs of blocks, that are broadcast at most; the driver holds them several times.
+MOST_BROADCAST, MOST_MEET = 1_000_000, 100_000
 
 
 def needed(s: int, t: int, percent: int = PERCENT) -> int:
@@ -226,9 +227,9 @@ def _small_edges(docs: DataFrame, wanted: DataFrame, most: int, words: int, perc
 def _candidates(classes: DataFrame, percent: int) -> DataFrame:
     """classes: c, n, prefix, sig.  a, b: edges that connect all classes which may link."""
     rows = classes.select("c", "n", F.explode("prefix").alias("token"))
-    lists = rows.groupBy("token").agg(F.count("*").alias("k"), F.min("c").alias("first")).filter("k > 1")
+    lists = rows.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1")
     shared = materialised(rows.join(lists, "token"), "lists")
-    hung = shared.filter(F.col("k") > LONG_LIST).select(F.col("first").alias("a"), F.col("c").alias("b"))
+    long = shared.filter(F.col("k") > LONG_LIST).select(F.col("token").alias("root"), F.col("c").alias("node"), F.ceil(F.col("k") / LIST_BLOCK).cast("int").alias("blocks"))
     sigs = classes.select("c", *[F.get("sig", F.lit(i)).alias(f"s{i}") for i in range(SIG)])
     short = shared.filter(F.col("k") <= LONG_LIST).select("token", "c", F.col("n").cast("int").alias("n")).join(sigs, "c")
     x, y = short.alias("x"), short.alias("y")
@@ -243,7 +244,54 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
     bits = F.aggregate(F.zip_with("ba", "bb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, v: acc + v)
     near = F.coalesce((100 + percent) * bits <= (100 - percent) * (F.col("na") + F.col("nb")), F.lit(True))
     pairs = pairs.join(left, "a", "left").join(right, "b", "left").filter(near).select("a", "b")
-    return hung.filter("a <> b").union(pairs).distinct()
+    return _long_pairs(long, classes, percent).union(pairs).distinct()
+
+
+def forest(n: np.ndarray, sig: np.ndarray, big: list, first: int, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Pairs that connect all which sizes and bitmaps allow to link; only those on either side of `first`, or all if it is 0.
+
+    n: sizes; sig: a row of SIG longs each; big: BIG longs each, or None.
+    """
+    m, label, out = len(n), np.arange(len(n)), []
+    sig, big = sig.view(np.uint64), [x if x is None else x.view(np.uint64) for x in big]  # counting bits of signed numbers drops the sign
+    for i in range(first or m):
+        lo = first or i + 1
+        may = np.flatnonzero((label[lo:] != label[i]) & (100 * np.minimum(n[i], n[lo:]) >= percent * np.maximum(n[i], n[lo:]))) + lo
+        most = (100 - percent) * (n[i] + n[may])
+        may = may[(100 + percent) * np.bitwise_count(sig[i] ^ sig[may]).sum(1, dtype=np.int64) <= most]
+        for j in may.tolist():
+            if label[j] == label[i]:
+                continue
+            if big[i] is not None and big[j] is not None and (100 + percent) * int(np.bitwise_count(big[i] ^ big[j]).sum()) > (100 - percent) * (n[i] + n[j]):
+                continue
+            out.append((i, j))
+            label[label == label[j]] = label[i]
+    return out
+
+
+def _long_pairs(long: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """long: root (token), node (class), blocks of each row of a long list.  a, b: forests of the pairs that may link, block by block."""
+    spark = long.sparkSession
+    meet = materialised(_meeting(long.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))), "long")
+    data = meet.join(classes.select(F.col("c").alias("node"), "n", "sig", "big"), "node")
+    n_bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pieces(meet.count(), 2 * LIST_BLOCK))
+
+    def go(f):
+        import pandas as pd
+
+        a_out, b_out = [], []
+        for (_, i, j), g in f.groupby(["root", "i", "j"], sort=False):
+            g = g.sort_values(["side", "node"])
+            first, node = 0 if i == j else int((g["side"] == 0).sum()), g["node"].to_numpy(np.int64)
+            if len(node) > 1 and (i == j or 0 < first < len(node)):
+                big = [None if x is None else np.asarray(x, np.int64) for x in g["big"]]
+                for x, y in forest(g["n"].to_numpy(np.int64), np.stack([np.asarray(x, np.int64) for x in g["sig"]]), big, first, percent):
+                    a_out.append(node[x])
+                    b_out.append(node[y])
+        return pd.DataFrame({"a": pd.Series(a_out, dtype="int64"), "b": pd.Series(b_out, dtype="int64")})
+
+    binned = data.withColumn("bin", F.pmod(F.xxhash64("root", "i", "j"), F.lit(n_bins)).cast("int"))
+    return binned.groupBy("bin").applyInPandas(go, "a long, b long").filter("a <> b")
 
 
 def links_of(sets: list[np.ndarray], first: int, percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -329,7 +377,7 @@ def _verified(groups: DataFrame, sets_of: Callable[[DataFrame], DataFrame], perc
         meet = meet.unionByName(_meeting(rest)).unionByName(left).unionByName(right)
     meet = materialised(meet, "meet")
     n = meet.count()
-    data = sets_of(meet.select("node").distinct()).withColumnRenamed("c", "node").join(F.broadcast(meet) if n <= MOST_BROADCAST else meet, "node")
+    data = sets_of(meet.select("node").distinct()).withColumnRenamed("c", "node").join(F.broadcast(meet) if n <= MOST_MEET else meet, "node")
     n_bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pieces(n, 500))
 
     def go(f):

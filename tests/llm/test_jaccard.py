@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from gapweave.llm import jaccard
@@ -113,3 +114,35 @@ def test_boundary_never_matters(spark, monkeypatch):
 def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     assert got(docs) == brute([tuple(r) for r in docs.collect()])
+
+
+def test_frequent_token_connects_nothing(spark, tight, monkeypatch):
+    """Long lists of texts that share a few words only: no candidates; near copies among them are found across blocks."""
+    monkeypatch.setattr(jaccard, "LIST_BLOCK", 4)
+    rng = random.Random(5)
+    rows = [(i, "a b c " + " ".join(f"w{rng.randrange(10**9)}" for _ in range(rng.choice([20, 22, 600])))) for i in range(40)]
+    rows += [(100 + i, text + " more") for i, text in rows[::4]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    common = jaccard.shingler(3).sets(["a b c"])[0]
+    prefix = lambda s: [int(common[0]), *(int(x) for x in s[s != common[0]][: jaccard.prefix_length(len(s)) - 1])]  # noqa: E731  as if the order had it first
+    sets = jaccard.shingler(3).sets([t for _, t in rows])
+    classes = [(i, len(s), prefix(s), jaccard._parity(s).tolist(), jaccard._parity(s, jaccard.BIG).tolist() if len(s) >= jaccard.BIG_FROM else None) for i, s in enumerate(sets)]
+    found = jaccard._candidates(spark.createDataFrame(classes, "c long, n long, prefix array<long>, sig array<long>, big array<long>"), 90)
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in found.collect()} == {(4 * i, 40 + i) for i in range(10)}
+    assert got(df) == brute(rows)
+
+
+def test_forest():
+    rng = random.Random(3)
+    base = [[rng.getrandbits(63) for _ in range(k)] for k in (30, 30, 700)]
+    sets = [np.array(sorted(b[: len(b) - d] + [rng.getrandbits(63) for _ in range(d)]), np.int64) for b in base for d in (0, 1, 1, 0)]
+    args = np.array([len(s) for s in sets]), np.stack([jaccard._parity(s) for s in sets]), [jaccard._parity(s, jaccard.BIG) if len(s) >= jaccard.BIG_FROM else None for s in sets]
+    for first in (0, 6):
+        root = list(range(len(sets)))
+        for a, b in jaccard.forest(*args, first):
+            assert not first or a < first <= b
+            x, y = find(root, a), find(root, b)
+            assert x != y
+            root[max(x, y)] = min(x, y)
+        group = [find(root, i) for i in range(len(sets))]
+        assert group == ([i // 4 * 4 for i in range(12)] if not first else [0, 1, 2, 3, 4, 4, 4, 4, 8, 9, 10, 11])
