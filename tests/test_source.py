@@ -110,3 +110,15 @@ def test_contents_differ_by_settings_and_changes(spark):
     names, texts = st.contents(files)
     assert names.count() == texts.count() == 4 and st.contents(files.withColumn("path", F.concat(F.lit("x/"), "path")))[1].count() == 4
     assert [r.path for r in analysis.findings(files).collect()] == ["a.ts"]
+
+
+def test_rules_of_repeated_parts(spark, monkeypatch):
+    from gapweave.plans import rules_from_source as rules
+
+    read, parsed = [], st.parsed
+    monkeypatch.setattr(st, "parsed", lambda files, *a, **k: [read.append(files.count()), parsed(files, *a, **k)][1])
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet").select("p_partkey", "p_size", "p_type", "p_retailprice")
+    more = part.withColumn("p_partkey", F.explode(F.array(*[F.col("p_partkey") + 1_000_000 * i for i in range(9)])))
+    once = {(r.path, r.line, r.rule) for r in analysis.findings(rules.sources(lambda _: part)).collect()}
+    got = analysis.findings(rules.sources(lambda _: more)).count()
+    assert got == 9 * len(once) and read[0] == read[1] <= 2 * rules.N
