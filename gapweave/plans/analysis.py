@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.once import once
+from ..functions.once import once, stored
 from ..operators import gaps as g
 from ..operators import spacing as sp
 from ..sources import statements as st
@@ -30,6 +30,8 @@ AFTER, BEFORE = "remove the blank line right after `{`", "remove the blank line
 FINDING = ["path", "line", "col", "rule", "message", "fixable"]
 #: Contents of a partition, unless there are too few partitions.
 EACH = 500
+#: Bytes of what contents have that are broadcast at most; the driver holds them several times.
+MOST_BROADCAST = 16 << 20
 
 
 def settled(stmts: DataFrame) -> DataFrame:
@@ -83,6 +85,18 @@ def _parts(files: DataFrame, marker: str, settings: dict):
     return read, stmts, settled(stmts)
 
 
+def _spread(names: DataFrame, out: DataFrame) -> DataFrame:
+    """names (path, content) with what out has for each content.
+
+    out is written and weighed first: if it is small, it is broadcast and the names stay where they are; else both are dealt by content.  The
+    names are never broadcast: their compressed files are a fraction of their size in the driver's memory.
+    """
+    out = stored(out)
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in out.dtypes if kind == "string"]
+    bulk = out.agg(F.sum(sum(texts, F.lit(32 * len(out.columns))))).first()[0] or 0
+    return names.join(F.broadcast(out) if bulk <= MOST_BROADCAST else out.hint("merge"), "content")
+
+
 def findings(files: DataFrame, marker: str = "gapweave", **settings) -> DataFrame:
     """path, line, col, rule, message, fixable of every finding, at its place in the file; a file that can't be read gives a single `parse`.
 
@@ -106,7 +120,7 @@ def findings(files: DataFrame, marker: str = "gapweave", **settings) -> DataFram
     out = spaced
     for part in (tight, walls, side, failed, gone):
         out = out.unionByName(part)
-    return names.join(out.withColumnRenamed("path", "content"), "content").select(*FINDING)
+    return _spread(names, out.withColumnRenamed("path", "content")).select(*FINDING)
 
 
 def fixed(files: DataFrame, marker: str = "gapweave", **settings) -> DataFrame:
@@ -117,7 +131,7 @@ def fixed(files: DataFrame, marker: str = "gapweave", **settings) -> DataFrame:
     mark = F.substring(F.coalesce("text", F.lit("")), 1, 1) == "\ufeff"
     marked = texts.filter(mark).select("path", F.lit(True).alias("_mark"))
     out = g.edited(read, edits).join(marked, "path", "left").select(F.col("path").alias("content"), F.when(F.col("_mark"), F.concat(F.lit("\ufeff"), "text")).otherwise(F.col("text")).alias("text"))
-    return names.join(out, "content").select("path", "text")
+    return _spread(names, out).select("path", "text")
 
 
 def remaining(fixed_files: DataFrame, marker: str = "gapweave", **settings) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.once import stored
 from ..operators import reporting, spacing
 from . import analysis
 from .kernels import kernel
@@ -18,12 +19,38 @@ t AS (SELECT *, r + sum(b::int) OVER (PARTITION BY k ORDER BY r) AS line, coales
 u AS (SELECT *, pg AND g AS chain, pg AND NOT g AS step FROM t)"""
 
 
+#: Orders, of those whose rows tie, that are broadcast at most.
+MOST_TIED = 100_000
+
+
+def packed(items: DataFrame) -> DataFrame:
+    """l_orderkey, rows: a long for each line item, sorted by l_linenumber and l_partkey, whose last bits say whether it is a guard and has a blank line above; -1 where that doesn't fit."""
+    line, part = F.col("l_linenumber"), F.col("l_partkey")
+    bit = lambda c: F.coalesce(c, F.lit(False)).cast("long")
+    row = F.shiftleft(line.cast("long"), 59) + F.shiftleft(part.cast("long"), 2) + 2 * bit(F.col("l_quantity") > 25) + bit(F.col("l_discount") < 0.03)
+    fits = line.between(0, 15) & part.between(0, (1 << 57) - 1)
+    dealt = items.select("l_orderkey", F.when(fits, row).otherwise(F.lit(-1).cast("long")).alias("row")).repartition("l_orderkey")  # two longs a row; arrays of few would be more
+    return dealt.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+
+
 def sources(t) -> DataFrame:
-    """path, text of a file for each order."""
-    rows = t("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*ORDER))).alias("rows"))
-    stmt = lambda x: F.when(x["l_quantity"] > 25, "if (x) return;").otherwise("step();")
-    each = F.transform("rows", lambda x, i: F.concat(F.when((x["l_discount"] < 0.03) & (i > 0), "\n").otherwise(""), stmt(x)))
-    return rows.select(F.format_string("o%d.ts", "l_orderkey").alias("path"), F.array_join(each, "\n").alias("text"))
+    """path, text of a file for each order.
+
+    A line item is sent as a single long (packed), so the shuffle is a fraction of that of all columns of ORDER.  Orders where that leaves open which of two
+    different statements comes first, or where a row doesn't fit, are read again with all of ORDER.
+    """
+    items = t("lineitem")
+    text = lambda rows, guard, blank: F.array_join(F.transform(rows, lambda x, i: F.concat(F.when(blank(x) & (i > 0), "\n").otherwise(""), F.when(guard(x), "if (x) return;").otherwise("step();"))), "\n")
+    tied = (F.get("rows", F.lit(0)) < 0) | (F.size(F.array_distinct("rows")) > F.size(F.array_distinct(F.transform("rows", lambda x: F.shiftright(x, 2)))))
+    every = stored(packed(items).select("l_orderkey", tied.alias("tied"), text("rows", lambda x: x.bitwiseAND(2) > 0, lambda x: x.bitwiseAND(1) > 0).alias("text")))
+    again = every.filter("tied").select(F.col("l_orderkey").alias("k"))
+    n = again.count()
+    if n:
+        mine = items.join(F.broadcast(again) if n <= MOST_TIED else again.hint("merge"), F.col("l_orderkey").eqNullSafe(F.col("k")), "left_semi")
+        rows = mine.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*ORDER))).alias("rows"))
+        full = rows.select("l_orderkey", text("rows", lambda x: x["l_quantity"] > 25, lambda x: x["l_discount"] < 0.03).alias("text"))
+        every = every.filter("not tied").select("l_orderkey", "text").unionByName(full)
+    return every.select(F.format_string("o%d.ts", "l_orderkey").alias("path"), "text")
 
 
 @kernel(STATEMENTS + """, v AS (SELECT *, sum((NOT chain)::int) OVER (PARTITION BY k ORDER BY r) AS held FROM u),

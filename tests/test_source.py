@@ -122,3 +122,40 @@ def test_rules_of_repeated_parts(spark, monkeypatch):
     once = {(r.path, r.line, r.rule) for r in analysis.findings(rules.sources(lambda _: part)).collect()}
     got = analysis.findings(rules.sources(lambda _: more)).count()
     assert got == 9 * len(once) and read[0] == read[1] <= 2 * rules.N
+
+
+def test_names_are_neither_dealt_nor_broadcast(spark, monkeypatch):
+    files = spark.range(300).select(F.format_string("f%d.ts", "id").alias("path"), F.when(F.col("id") % 2 == 0, "if (a) return;\nb();\n").otherwise("b();\n").alias("text"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for out in (analysis.findings(files), analysis.fixed(files)):
+            assert "BroadcastHashJoin" in plan(out) and "hashpartitioning" not in plan(out)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(analysis, "MOST_BROADCAST", 0)
+    found, text = analysis.findings(files), analysis.fixed(files)
+    assert "BroadcastExchange" not in plan(found) + plan(text)
+    assert found.count() == 150 and text.filter(F.col("text") == "if (a) return;\n\nb();\n").count() == 150
+
+
+def test_sources_of_tied_and_odd_rows(spark):
+    from gapweave.plans import from_source as fs
+
+    ddl = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double, l_discount double"
+    rows = [
+        (1, 2, 5, 1, 1.0, 30.0, 0.0), (1, 1, 9, 1, 1.0, 10.0, 0.0), (1, 2, 4, 7, 1.0, 10.0, 0.02),  # by part
+        (2, 1, 5, 2, 1.0, 30.0, 0.1), (2, 1, 5, 1, 9.0, 10.0, 0.1), (2, 1, 5, 1, 8.0, 40.0, 0.0),  # tied on line and part
+        (3, 1, None, 1, 1.0, 30.0, 0.1), (3, None, 5, 1, 1.0, 10.0, 0.1), (3, 1, 5, 1, 1.0, 10.0, None),
+        (4, 1, 1 << 60, 1, 1.0, 30.0, 0.1), (4, 1, -3, 1, 1.0, 10.0, 0.1), (4, -1, 5, 1, 1.0, None, 0.0),
+        (5, 1, 5, 1, 1.0, 30.0, 0.1), (5, 1, 5, 1, 1.0, 30.0, 0.1),  # equal rows
+        (None, 2, 5, 1, 1.0, 30.0, 0.1), (None, 1, 5, 1, 1.0, 10.0, 0.0), (None, 1, 5, 0, 1.0, 30.0, 0.0),
+    ]
+    items = spark.createDataFrame(rows, ddl)
+    assert [len(r.rows) for r in fs.packed(items).filter("l_orderkey = 2").collect()] == [3]
+    sent = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*fs.ORDER))).alias("rows")).collect()
+    say = lambda i, x: ("\n" if i and x.l_discount is not None and x.l_discount < 0.03 else "") + ("if (x) return;" if x.l_quantity is not None and x.l_quantity > 25 else "step();")
+    wanted = {(f"o{'null' if r.l_orderkey is None else r.l_orderkey}.ts", "\n".join(say(i, x) for i, x in enumerate(r.rows))) for r in sent}
+    got = fs.sources(lambda _: items)
+    assert {tuple(r) for r in got.collect()} == wanted and got.count() == 6
+    assert fs.sources(lambda _: items.limit(0)).count() == 0
