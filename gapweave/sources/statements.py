@@ -37,7 +37,8 @@ def contents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     said = F.to_json(F.struct(F.col("text").isNull().alias("null"), *own))  # on a line of its own, so no text can pass for settings
     key = F.concat(F.base64(F.unhex(F.sha2(F.concat(said, F.lit("\n"), F.coalesce("text", F.lit(""))), 256))), F.lit("."), dialect)
     every = stored(files.select("path", key.alias("content"), "text", *own))
-    return every.select("path", "content"), stored(every.drop("path").withColumnRenamed("content", "path").dropDuplicates(["path"]))
+    # rows of a content are equal, so distinct() does; to pick one of each, Spark would sort every text
+    return every.select("path", "content"), stored(every.drop("path").withColumnRenamed("content", "path").distinct())
 
 
 def parsed(files: DataFrame, marker: str = "gapweave", columns: int = syntax.COLUMNS, tab: int = syntax.TAB, ruler: str = "prettier", braces: bool = True, explain: bool = False) -> DataFrame:
