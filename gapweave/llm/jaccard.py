@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, chunks, documents, kept, lean, materialised, pieces
+from .common import WORD, chunks, documents, kept, lean, longs, materialised, pieces
 from .components import components
 
 WORDS, PERCENT = 3, 90
@@ -176,8 +176,7 @@ def _heavy(docs: DataFrame, words: int, percent: int) -> np.ndarray:
     while n > MOST_HEAVY:  # the order may be any; fewer tokens only make it less good
         least *= 2
         n = counts.filter(F.col("count") > least).count()
-    got = counts.filter(F.col("count") > least).select("token").toPandas()["token"].to_numpy(np.int64)
-    return np.sort(got)
+    return longs(counts.filter(F.col("count") > least).select("token"))
 
 
 # -- small sets -----------------------------------------------------------------------------------

@@ -146,3 +146,20 @@ def test_forest():
             root[max(x, y)] = min(x, y)
         group = [find(root, i) for i in range(len(sets))]
         assert group == ([i // 4 * 4 for i in range(12)] if not first else [0, 1, 2, 3, 4, 4, 4, 4, 8, 9, 10, 11])
+
+
+def test_frequent_tokens_reach_the_driver_as_arrays(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from gapweave.llm.common import longs
+
+    sent, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "toPandas", lambda self: pytest.fail("rows"))
+    monkeypatch.setattr(DataFrame, "collect", lambda self: [got := collect(self), sent.append(len(got))][0])
+    docs = spark.range(jaccard.HEAVY + 8).selectExpr("id AS doc_id", "concat('a b c d e f g h ', id) AS text")
+    heavy = jaccard._heavy(docs, 3, 10)
+    tokens = [t for (t,) in collect(jaccard._tokens(docs, 3, 10).groupBy("token").count().filter(f"count > {jaccard.HEAVY}").select("token"))]
+    assert heavy.tolist() == sorted(tokens) and len(tokens) > 1
+    n = spark.range(0, 50_000, 1, 3)
+    assert longs(n.selectExpr("25000 - id")).tolist() == list(range(-24_999, 25_001)) and max(sent) <= 8
+    assert longs(n.limit(0)).tolist() == []
