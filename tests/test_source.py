@@ -159,3 +159,12 @@ def test_sources_of_tied_and_odd_rows(spark):
     got = fs.sources(lambda _: items)
     assert {tuple(r) for r in got.collect()} == wanted and got.count() == 6
     assert fs.sources(lambda _: items.limit(0)).count() == 0
+
+
+def test_small_files_of_many_parts_are_not_broadcast(spark, monkeypatch):
+    from gapweave.plans import rules_from_source as rules
+
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet").limit(20)
+    monkeypatch.setattr(analysis, "MOST_BROADCAST", 0)  # as if there were many findings; the names' compressed files stay below Spark's own limit
+    found = analysis.findings(rules.sources(lambda _: part))
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString() and found.count() > 0
