@@ -5,6 +5,8 @@ Input `gaps` is what gaps.decided() returns, with columns a caller adds where sa
 """
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,8 +46,8 @@ def let_steps(gaps: DataFrame) -> DataFrame:
     return at.drop("_anchor", "_ok", "_next_anchor", "_next_stop", "_joined", "_below")
 
 
-def walls(stmts: DataFrame, least: int = WALL) -> DataFrame:
-    """path, list_id, idx, size: runs of at least `least` counted statements without a separator.
+def walls(stmts: DataFrame, least: int = WALL, first: Sequence[str] = (), last: Sequence[str] = ()) -> DataFrame:
+    """path, list_id, idx, size: runs of at least `least` counted statements without a separator; also columns `first` of the first statement, `last` of the last.
 
     stmts: path, list_id, idx, list_kind, counted, forced (joined to the statement above by a rule), parted (a separator above).
     Runs that rules force together aren't walls, nor does any statement of a switch belong to one.
@@ -59,14 +61,19 @@ def walls(stmts: DataFrame, least: int = WALL) -> DataFrame:
     s = s.withColumn("_use", F.col("_c") & ~F.col("_held"))
     starts = ~F.coalesce(F.lag("_use").over(w), F.lit(False)) | ~F.col("_use") | F.coalesce(F.col("parted"), F.lit(True))
     s = s.withColumn("_wall", F.sum(starts.cast("int")).over(w)).filter("_use")
-    return s.groupBy("path", "list_id", "_wall").agg(F.min("idx").alias("idx"), F.count("*").alias("size")).filter(F.col("size") >= least).drop("_wall")
+    return s.groupBy("path", "list_id", "_wall").agg(F.min("idx").alias("idx"), F.count("*").alias("size"), *[F.min_by(c, "idx").alias(c) for c in first], *[F.max_by(c, "idx").alias(c) for c in last]).filter(F.col("size") >= least).drop("_wall")
 
 
-def tight_blocks(gaps: DataFrame) -> DataFrame:
-    """Gaps without a blank line where a one-line statement meets a block of several lines; needs blanks (a count)."""
+def tight() -> F.Column:
+    """Whether a gap has no blank line where a one-line statement meets a block of several lines; needs blanks (a count)."""
     p, n = (lambda c: F.col(f"prev.{c}")), (lambda c: F.col(f"next.{c}"))
     both_if = (p("kind") == "If") & (n("kind") == "If")
-    return gaps.filter((F.col("rule") == "keep") & (F.col("blanks") == 0) & _is_false(p("multiline")) & n("multiline") & n("kind").isin(*BLOCKS) & ~both_if)
+    return (F.col("rule") == "keep") & (F.col("blanks") == 0) & _is_false(p("multiline")) & n("multiline") & n("kind").isin(*BLOCKS) & ~both_if
+
+
+def tight_blocks(gaps: DataFrame) -> DataFrame:
+    """Gaps that are tight()."""
+    return gaps.filter(tight())
 
 
 def blank_edges(lists: DataFrame, lines: DataFrame) -> DataFrame:

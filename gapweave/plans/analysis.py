@@ -45,28 +45,31 @@ def settled(stmts: DataFrame) -> DataFrame:
     return sp.let_steps(decided)
 
 
-def _walls(stmts: DataFrame, gaps: DataFrame) -> DataFrame:
+def _walls(gaps: DataFrame) -> DataFrame:
+    """Walls with their places: path, list_id, idx, size, last, start_line, line, col, end_line.
+
+    They come from the gaps alone: each statement is the next of one, but the first of its list, which is the prev of the first; a list without
+    gaps has a single statement and no wall.
+    """
     none = F.coalesce(F.col("want") == "none", F.lit(False))
     some = F.coalesce(F.col("want") == "some", F.lit(False))
     blank, touched = F.col("blanks") > 0, F.col("next.touched")
     settles = some | (blank & (~none | F.col("next.detached")))  # what isn't touched stays as it is
-    above = gaps.select(
-        "path", "list_id", F.col("next.idx").alias("idx"), (none & ~F.col("next.detached") & ~F.col("next.commented") & (~blank | touched)).alias("forced"),
-        ((F.col("rule") == "frozen") | F.when(touched, settles).otherwise(blank)).alias("parted"),
-    )
-    known = stmts.withColumn("counted", ~F.col("multiline") & (F.col("kind") != "Import")).join(above, ["path", "list_id", "idx"], "left")
-    found = sp.walls(known).withColumn("last", F.col("idx") + F.col("size") - 1)
-    ends = stmts.select("path", "list_id", F.col("idx").alias("last"), "end_line")
-    return found.join(stmts.select("path", "list_id", "idx", "start_line", F.col("at_line").alias("line"), F.col("at_col").alias("col")), ["path", "list_id", "idx"]).join(ends, ["path", "list_id", "last"])
+    forced = none & ~F.col("next.detached") & ~F.col("next.commented") & (~blank | touched)
+    parted = (F.col("rule") == "frozen") | F.when(touched, settles).otherwise(blank)
+    own = {"idx": "idx", "list_kind": "list_kind", "multiline": "multiline", "kind": "kind", "start_line": "start_line", "end_line": "end_line", "at_line": "line", "at_col": "col"}
+    row = lambda of, *more: F.struct(*[F.col(f"{of}.{c}").alias(to) for c, to in own.items()], *[c.cast("boolean").alias(to) for c, to in zip(more, ("forced", "parted"), strict=True)])
+    below = row("next", forced, parted)
+    stmts = gaps.select("path", "list_id", F.inline(F.when(F.col("prev.idx") == 0, F.array(row("prev", F.lit(None), F.lit(None)), below)).otherwise(F.array(below))))
+    found = sp.walls(stmts.withColumn("counted", ~F.col("multiline") & (F.col("kind") != "Import")), first=("start_line", "line", "col"), last=("end_line",))
+    return found.withColumn("last", F.col("idx") + F.col("size") - 1)
 
 
 def _touched(walls: DataFrame, read: DataFrame) -> DataFrame:
     """Walls that changed lines touch, where a file has any to tell."""
-    free = read.filter("changed is null and deleted is null").select("path")
-    point = lambda c, kind: read.select("path", F.explode(c).alias("line"), F.lit(kind).alias("kind"))
-    scoped = walls.join(free, "path", "left_anti")
-    inside = sp.in_scope(scoped, point("changed", "line").unionByName(point("deleted", "deleted_after")), "start_line", "end_line")
-    return walls.join(free, "path", "left_semi").unionByName(inside)
+    within = lambda c, to: F.coalesce(F.exists(c, lambda x: (x >= F.col("start_line")) & to(x)), F.lit(False))
+    here = within("changed", lambda x: x <= F.col("end_line")) | within("deleted", lambda x: x < F.col("end_line"))
+    return walls.join(read.select("path", "changed", "deleted"), "path").filter((F.col("changed").isNull() & F.col("deleted").isNull()) | here)
 
 
 def with_changes(files: DataFrame, changed: DataFrame) -> DataFrame:
@@ -81,8 +84,7 @@ def _parts(files: DataFrame, marker: str, settings: dict):
     """What the pass read, once, dealt by path: every window and join behind it is on the path, so nothing is shuffled again."""
     n = min(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(files.sparkSession.sparkContext.defaultParallelism, -(-files.count() // EACH)))
     read = once(st.parsed(files, marker, **settings).repartition(n, "path"))
-    stmts = st.statements(read)
-    return read, stmts, settled(stmts)
+    return read, settled(st.statements(read))
 
 
 def _spread(names: DataFrame, out: DataFrame) -> DataFrame:
@@ -103,30 +105,30 @@ def findings(files: DataFrame, marker: str = "gapweave", **settings) -> DataFram
     Rows that repeat a path each have their own findings; a null path is read as ts.
     """
     names, texts = st.contents(files)
-    read, stmts, every = _parts(texts, marker, settings)
-    gaps = every
+    read, every = _parts(texts, marker, settings)
     n = lambda c: F.col(f"next.{c}")
     wrong = ((F.col("want") == "none") & (F.col("blanks") > 0) & ~n("detached")) | ((F.col("want") == "some") & (F.col("blanks") == 0) & (n("start_line") > F.col("prev.end_line")))
+    tight = sp.tight() & ~F.coalesce((n("kind") == "Try") & F.array_contains(n("finally_ops"), F.col("prev.operation")), F.lit(False))  # only where no rule wants anything
     says = F.create_map(*[F.lit(x) for kv in MESSAGES.items() for x in kv])
+    gaps = every.filter("next.touched").filter(wrong | tight).withColumn("rule", F.when(F.col("rule") == "keep", "block-spacing").otherwise(F.col("rule")))
     message = F.when(F.col("joined_by").isNotNull(), F.format_string(JOIN, "joined_by", n("word"))).otherwise(F.try_element_at(says, F.col("rule")))
-    gaps = gaps.filter("next.touched")
-    spaced = gaps.filter(wrong).select("path", n("at_line").alias("line"), n("at_col").alias("col"), "rule", message.alias("message"), F.lit(True).alias("fixable"))
-    tight = sp.tight_blocks(gaps).filter(~F.coalesce((n("kind") == "Try") & F.array_contains(n("finally_ops"), F.col("prev.operation")), F.lit(False)))
-    tight = tight.select("path", n("at_line").alias("line"), n("at_col").alias("col"), F.lit("block-spacing").alias("rule"), F.lit(MESSAGES["block-spacing"]).alias("message"), F.lit(False).alias("fixable"))
-    walls = _touched(_walls(stmts, every), read).select("path", "line", "col", F.lit("wall").alias("rule"), F.format_string(WALL, F.col("size")).alias("message"), F.lit(False).alias("fixable"))
-    side = st.edges(read).select("path", F.col("at_line").alias("line"), F.lit(1).alias("col"), F.lit("edge-blank").alias("rule"), F.when(F.col("at_start"), AFTER).otherwise(BEFORE).alias("message"), F.lit(True).alias("fixable"))
-    failed = read.filter("error is not null").select("path", F.lit(1).alias("line"), F.lit(1).alias("col"), F.lit("parse").alias("rule"), F.col("error").alias("message"), F.lit(False).alias("fixable"))
-    gone = read.select("path", F.inline("braces")).select("path", "line", "col", F.lit("braces").alias("rule"), F.lit(MESSAGES["braces"]).alias("message"), F.lit(True).alias("fixable"))
-    out = spaced
-    for part in (tight, walls, side, failed, gone):
-        out = out.unionByName(part)
+    spaced = gaps.select("path", n("at_line").alias("line"), n("at_col").alias("col"), "rule", message.alias("message"), (F.col("rule") != "block-spacing").alias("fixable"))
+    walls = _touched(_walls(every), read).select("path", "line", "col", F.lit("wall").alias("rule"), F.format_string(WALL, F.col("size")).alias("message"), F.lit(False).alias("fixable"))
+    # what the pass itself has found: one array a file, so the plan holds a single branch for it
+    one = lambda line, col, rule, message, fixable: F.struct(line.alias("line"), col.alias("col"), F.lit(rule).alias("rule"), message.alias("message"), F.lit(fixable).alias("fixable"))
+    each = lambda rows, f: F.coalesce(F.transform(rows, f), F.array())
+    side = each(F.flatten(F.filter(F.transform("lists", lambda x: x["edges"]), lambda x: x.isNotNull())), lambda x: one(x["at_line"], F.lit(1), "edge-blank", F.when(x["at_start"], AFTER).otherwise(BEFORE), True))
+    gone = each(F.col("braces"), lambda x: one(x["line"], x["col"], "braces", F.lit(MESSAGES["braces"]), True))
+    failed = F.when(F.col("error").isNotNull(), F.array(one(F.lit(1), F.lit(1), "parse", F.col("error"), False))).otherwise(F.array())
+    own = read.select("path", F.inline(F.concat(side, gone, failed)))
+    out = spaced.unionByName(walls).unionByName(own)
     return _spread(names, out.withColumnRenamed("path", "content")).select(*FINDING)
 
 
 def fixed(files: DataFrame, marker: str = "gapweave", **settings) -> DataFrame:
     """path, text of every file with its braces and blank lines set right; a file that can't be read stays as it is."""
     names, texts = st.contents(files)
-    read, _, gaps = _parts(texts, marker, settings)
+    read, gaps = _parts(texts, marker, settings)
     edits = g.gap_edits(gaps.filter("next.touched")).select("path", "line", "op").unionByName(st.edges(read).select("path", "line", F.lit("delete").alias("op")))
     mark = F.substring(F.coalesce("text", F.lit("")), 1, 1) == "\ufeff"
     marked = texts.filter(mark).select("path", F.lit(True).alias("_mark"))

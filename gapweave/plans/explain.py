@@ -134,7 +134,7 @@ def _block_sections(read: DataFrame, held: Column) -> DataFrame:
 
 def _wall_sections(read: DataFrame, stmts: DataFrame, gaps: DataFrame) -> DataFrame:
     """The same for walls, at each of their lines."""
-    found = analysis._walls(stmts, gaps).join(read.select("path", "origin", "braces", "source"), "path")
+    found = analysis._walls(gaps).join(read.select("path", "origin", "braces", "source"), "path")
     tail = stmts.select("path", "list_id", F.col("idx").alias("last"), F.col("at_line").alias("tail_line"))
     found = found.join(tail, ["path", "list_id", "last"]).withColumnRenamed("line", "head_line")
     to = _was(F.col("end_line"))

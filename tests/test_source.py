@@ -168,3 +168,23 @@ def test_small_files_of_many_parts_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(analysis, "MOST_BROADCAST", 0)  # as if there were many findings; the names' compressed files stay below Spark's own limit
     found = analysis.findings(rules.sources(lambda _: part))
     assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString() and found.count() > 0
+
+
+def test_plan_of_findings_is_small(spark, monkeypatch):
+    """The driver's memory follows the plan, whatever the input: lists of statements are read for gaps and for walls, what the pass found in one branch."""
+    plans = []
+    monkeypatch.setattr(analysis, "stored", lambda df: [plans.append(df._jdf.queryExecution().executedPlan().toString()), df][1])
+    analysis.findings(spark.createDataFrame([("a.ts", BEFORE)], "path string, text string"))
+    assert (plans[0].count("Scan ExistingRDD"), plans[0].count("inline(stmts")) == (4, 2) and plans[0].count("Window [") <= 17
+
+
+def test_walls_of_all_lists_in_scope(spark):
+    six = "".join(f"s{i}();\n" for i in range(6))
+    text = f"import a from 'a';\n{six}\nfunction f() {{\n{six}s();\n}}\n\nfunction g() {{\n{six[:-6]}}}\n\nfunction h() {{\n\n  s();\n}}\n"
+    rows = [("all.ts", None, None), ("in.ts", [3], []), ("out.ts", [1, 8, 9, 17], []), ("cut.ts", [], [6]), ("end.ts", None, [7, 16]), ("both.ts", [7], [10]), ("none.ts", [], [])]
+    files = spark.createDataFrame([(p, text, x, y) for p, x, y in rows] + [("bad.ts", "f(", None, None)], "path string, text string, lines array<int>, deleted array<int>")
+    found = [tuple(r) for r in analysis.findings(files).collect()]
+    wall = lambda path, line, n: (path, line, 1, "wall", analysis.WALL % n, False)
+    assert sorted(x for x in found if x[3] == "wall") == sorted([wall("all.ts", 2, 6), wall("all.ts", 10, 7), wall("in.ts", 2, 6), wall("cut.ts", 2, 6), wall("both.ts", 2, 6), wall("both.ts", 10, 7)])
+    assert [x[1:] for x in found if x[0] == "bad.ts"] == [(1, 1, "parse", "unexpected end", False)]
+    assert [x[1:] for x in found if x[0] == "all.ts" and x[3] == "edge-blank"] == [(28, 1, "edge-blank", analysis.AFTER, True)]
